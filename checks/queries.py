@@ -230,10 +230,10 @@ def unprocessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ledger_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping deliveries of file names; each name is kept once, with its first time."""
-    ledger = FileLedger(spark, scratch_folder(spark))
+    ledger = FileLedger(spark, scratch_folder(spark), "orders")
     known = load(spark, sf_dir, "order_ledger").filter(F.col("table_name") == "orders")
-    ledger.add("orders", known, datetime(2024, 1, 1))
-    ledger.add("orders", load(spark, sf_dir, "order_files"), datetime(2024, 1, 2))
+    ledger.add(known, datetime(2024, 1, 1))
+    ledger.add(load(spark, sf_dir, "order_files"), datetime(2024, 1, 2))
     return ledger.read().select("table_name", "file_name", F.to_date("processed_at").alias("processed_on"))
 
 
