@@ -95,10 +95,11 @@ SELECT CAST(c_custkey * 3 AS INT) AS cst_id, concat('AW', CAST(c_custkey * 3 AS
        DATE '2023-01-01' AS _created_at FROM {customer}""",
     # Three dated snapshots of the order table: each holds the orders placed until then, with a
     # status of its date.
-    "order_snapshots": """
-SELECT CAST(o_orderkey AS INT) AS order_id, concat(o_orderstatus, CAST(year(load_date) AS STRING)) AS status, load_date
-FROM {orders} JOIN (SELECT DISTINCT CAST(concat(CAST(1996 + 2 * (n_nationkey % 3) AS STRING), '-06-30') AS DATE) AS load_date FROM {nation}) days
-  ON o_orderdate <= load_date""",
+    "order_snapshots": " UNION ALL ".join(
+        f"""SELECT CAST(o_orderkey AS INT) AS order_id, concat(o_orderstatus, '{year}') AS status, DATE '{year}-06-30' AS load_date
+FROM {{orders}} WHERE o_orderdate <= DATE '{year}-06-30'"""
+        for year in (1996, 1998, 2000)
+    ),
     # Change files as the orders would have been delivered in, and those already merged.
     "order_files": """
 SELECT DISTINCT concat('load_date=', CAST(CAST(o_orderdate AS DATE) AS STRING), '/part-', CAST(o_orderkey % 16 AS STRING)) AS file_name

@@ -12,16 +12,22 @@ from pyspark.sql.types import DataType, DateType, IntegralType, TimestampNTZType
 def yyyymmdd_to_date(column: Column, data_type: DataType) -> Column:
     """Date of an integer or text ``yyyyMMdd``; a date or timestamp passes through.
 
-    Zero, a wrong number of digits and impossible days become NULL. The text is
-    cut into an ISO date and cast: unlike a pattern parse, the cast stays within
-    generated code and raises nothing for a bad value.
+    Zero, a wrong number of digits and impossible days become NULL. Whole numbers
+    are taken apart by arithmetic: no text is built and no parser runs per row, and
+    nothing is raised for a bad value.
     """
     if isinstance(data_type, DateType | TimestampType | TimestampNTZType):
         return column.cast("date")
-    digits = column.cast("string")
-    iso = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    eight = F.length(digits) == 8 if isinstance(data_type, IntegralType) else digits.rlike("^[0-9]{8}$")
-    return F.when(eight, iso.try_cast("date"))
+    if not isinstance(data_type, IntegralType):
+        parts = [F.substring(column, 1, 4), F.substring(column, 5, 2), F.substring(column, 7, 2)]
+        iso = F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2])
+        return F.when(column.rlike("^[0-9]{8}$"), iso.try_cast("date"))
+    column = column.try_cast("int")
+    year, month, day = (column / 10000).cast("int"), (column / 100).cast("int") % 100, column % 100
+    eight_digits = column.between(10_000_000, 99_999_999)
+    first = F.when(eight_digits & month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    date_of_day = F.date_add(first, day - 1)
+    return F.when(F.month(date_of_day) == month, date_of_day)
 
 
 def iso_to_date(column: Column) -> Column:
