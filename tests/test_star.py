@@ -1,0 +1,111 @@
+from datetime import date
+
+import pytest
+
+from tests.test_clean import PRODUCTS, SALES
+from tidemark.operators import clean, star
+
+CUSTOMERS = (
+    "cst_id {id}, cst_key string, cst_firstname string, cst_lastname string, cst_marital_status string,"
+    " cst_gndr string, cst_create_date string"
+)
+
+
+def customers(spark, id_type="int"):
+    ids = [3, 1, 2] if id_type == "int" else ["3", "1", "2"]
+    return spark.createDataFrame(
+        [
+            (ids[0], "AW3", " Ann ", "Lee ", "x", "n/a", "2024-01-03"),
+            (ids[1], "AW1", "Jon", "Yang", "M", "Male", "2024-01-01"),
+            (ids[2], "AW2", "Eva", "Huang", " single", None, "2024-01-02"),
+        ],
+        CUSTOMERS.format(id=id_type),
+    )
+
+
+def people(spark):
+    return spark.createDataFrame([("AW1", "1971-10-06", "Female"), ("AW2", "1976-05-10", "f")], "cid string, bdate string, gen string")
+
+
+def places(spark):
+    return spark.createDataFrame([("AW1", "Australia"), ("AW2", None)], "cid string, cntry string")
+
+
+def test_dim_customers(spark):
+    out = star.build_dim_customers(customers(spark), people(spark), places(spark))
+    assert out.columns == [
+        "customer_key", "customer_id", "customer_number", "first_name", "last_name", "country", "marital_status",
+        "gender", "birthdate", "create_date",
+    ]
+    assert [tuple(r) for r in out.orderBy("customer_key").collect()] == [
+        (1, 1, "AW1", "Jon", "Yang", "Australia", "Married", "Male", "1971-10-06", "2024-01-01"),
+        (2, 2, "AW2", "Eva", "Huang", "n/a", "Single", "Female", "1976-05-10", "2024-01-02"),
+        (3, 3, "AW3", "Ann", "Lee", "n/a", "n/a", "n/a", None, "2024-01-03"),
+    ]
+
+
+def products(spark):
+    return spark.createDataFrame(
+        [
+            (21, "CO-RF-FR-2", "Frame", 12, "Road", "2012-07-01", None, None, "x"),
+            (20, "CO-RF-FR-1", "Frame", 10, "R", "2011-07-01", None, None, "x"),
+            (19, "CO-RF-FR-1", "Frame", 9, "R", "2010-07-01", "2011-06-30", None, "x"),
+            (22, "ZZ-ZZ-HL-1", "Helmet", None, "?", "2013-07-01", None, None, "x"),
+        ],
+        PRODUCTS,
+    )
+
+
+def categories(spark):
+    return spark.createDataFrame(
+        [("CO_RF", "Components", "Road Frames", "Yes")], "id string, cat string, subcat string, maintenance string"
+    )
+
+
+def test_dim_products(spark):
+    out = star.build_dim_products(products(spark), categories(spark))
+    kept = out.orderBy("product_key").drop("product_name").collect()
+    assert [tuple(r) for r in kept] == [
+        (1, 20, "FR-1", "CO_RF", "Components", "Road Frames", "Yes", 10, "Road", "2011-07-01"),
+        (2, 21, "FR-2", "CO_RF", "Components", "Road Frames", "Yes", 12, "Road", "2012-07-01"),
+        (3, 22, "HL-1", "ZZ_ZZ", "n/a", "n/a", "n/a", None, "n/a", "2013-07-01"),
+    ]
+
+
+def test_dim_products_from_cleaned_products(spark):
+    cleaned = clean.clean_crm_products(products(spark))
+    out = star.build_dim_products(cleaned, categories(spark)).orderBy("product_key").collect()
+    assert [(r.product_id, r.product_number, r.category_id, r.cost, r.product_line) for r in out] == [
+        (20, "FR-1", "CO_RF", 10, "Road"),
+        (21, "FR-2", "CO_RF", 12, "Road"),
+        (22, "HL-1", "ZZ_ZZ", 0, "n/a"),
+    ]
+
+
+@pytest.mark.parametrize("id_type", ["int", "string"])
+def test_fact_sales(spark, rows, id_type):
+    sales = spark.createDataFrame(
+        [
+            ("SO1", "FR-1", 1, 20240115, 20240116, 20240117, 30, 3, 10),
+            ("SO2", "FR-2", 2, 0, None, 20240117, -30, 3, None),
+            ("SO3", "none", 9, 20240115, 20240116, 20240117, 31, 3, -10),
+            ("SO4", "HL-1", None, 20240115, 20240116, 20240117, 5, 0, 0),
+        ],
+        SALES,
+    )
+    fact = star.build_fact_sales(
+        sales,
+        star.build_dim_products(products(spark), categories(spark)),
+        star.build_dim_customers(customers(spark, id_type), people(spark), places(spark)),
+    )
+    d15, d16, d17 = (date(2024, 1, d) for d in (15, 16, 17))
+    assert fact.columns == [
+        "order_number", "product_key", "customer_key", "order_date", "shipping_date", "due_date", "sales_amount",
+        "quantity", "price",
+    ]
+    assert rows(fact) == [
+        ("SO1", 1, 1, d15, d16, d17, 30, 3, 10.0),
+        ("SO2", 2, 2, None, None, d17, None, 3, -10.0),
+        ("SO3", None, None, d15, d16, d17, 30, 3, 31 / 3),
+        ("SO4", 3, None, d15, d16, d17, 0, 0, None),
+    ]
