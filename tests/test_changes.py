@@ -34,9 +34,16 @@ def the_source(spark):
     return spark.createDataFrame([(1, "one", "Jon"), (3, "three", "Eva"), (4, "four", "Ann")], "cst_id int, id string, name string")
 
 
-def test_extract_changes(spark, rows):
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_extract_changes(spark, rows, broadcast_rows):
     changes = extract_changes(
-        the_log(spark), the_source(spark), table_name="crm_customer", key="cst_id", after=at(1), until=at(5)
+        the_log(spark),
+        the_source(spark),
+        table_name="crm_customer",
+        key="cst_id",
+        after=at(1),
+        until=at(5),
+        broadcast_rows=broadcast_rows,
     )
     assert changes.columns == ["log_id", "operation_type", "changed_at", "cst_id", "id", "name"]
     assert rows(changes) == [

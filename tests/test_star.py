@@ -44,6 +44,19 @@ def test_dim_customers(spark):
     ]
 
 
+def test_customers_with_repeated_or_missing_lookup_rows(spark, rows):
+    """As two left joins give them: every pair of a customer's ERP rows, and NULL ids match nothing."""
+    erp = spark.createDataFrame(
+        [("AW1", "b1", "F"), ("AW1", "b2", "F"), ("AW9", "b9", "M"), (None, "b0", "M")], "cid string, bdate string, gen string"
+    )
+    where = spark.createDataFrame([("AW1", "p1"), ("AW1", "p2"), ("AW2", "p3"), (None, "p0")], "cid string, cntry string")
+    crm = customers(spark).union(customers(spark).limit(1).selectExpr("9", "CAST(NULL AS STRING)", "'N'", "'N'", "'M'", "'F'", "''"))
+    out = star.customer_attributes(crm, erp, where)
+    assert rows(out, "customer_id", "birthdate", "country") == [
+        (1, "b1", "p1"), (1, "b1", "p2"), (1, "b2", "p1"), (1, "b2", "p2"), (2, None, "p3"), (3, None, "n/a"), (9, None, "n/a"),
+    ]
+
+
 def products(spark):
     return spark.createDataFrame(
         [
@@ -77,7 +90,7 @@ def test_dim_products_from_cleaned_products(spark):
     out = star.build_dim_products(cleaned, categories(spark)).orderBy("product_key").collect()
     assert [(r.product_id, r.product_number, r.category_id, r.cost, r.product_line) for r in out] == [
         (20, "FR-1", "CO_RF", 10, "Road"),
-        (21, "FR-2", "CO_RF", 12, "Road"),
+        (21, "FR-2", "CO_RF", 12, "n/a"),  # cleaning knows one-letter line codes only
         (22, "HL-1", "ZZ_ZZ", 0, "n/a"),
     ]
 

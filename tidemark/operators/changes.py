@@ -41,21 +41,25 @@ def extract_changes(
     key: str,
     after: datetime | str | None = None,
     until: datetime | str | None = None,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Logged changes of one table in ``(after, until]`` with the current source row.
 
     A deleted row has NULL in every source column but its key, which is taken from
-    the log. The source is first cut down to the logged ids, so a short window
-    joins two small sides and leaves the large table unshuffled.
+    the log. The changes are counted first. Up to ``broadcast_rows`` of them, their
+    ids are broadcast to cut the source down to the changed rows where it is
+    scanned, and the large table is never shuffled. Beyond that both sides are
+    shuffled by id, where adaptive execution splits an id with most of the changes.
     """
     logged = in_window(log.filter(F.col("table_name") == table_name), "changed_at", after, until).select(
         "log_id", "operation_type", "changed_at", F.col("id").cast("string").alias("_logged_id")
     )
-    ids = logged.select("_logged_id").distinct()
     keyed = source.withColumn("_source_id", F.col(key).cast("string"))
-    touched = keyed.join(ids, F.col("_source_id") == F.col("_logged_id"), "left_semi")
+    matches = F.col("_logged_id") == F.col("_source_id")
+    if logged.count() <= broadcast_rows:
+        keyed = keyed.join(F.broadcast(logged.select("_logged_id").distinct()), matches, "left_semi")
     recovered = recover_key(F.col(key), F.col("_logged_id"), source.schema[key].dataType).alias(key)
-    return logged.join(touched, F.col("_logged_id") == F.col("_source_id"), "left").select(
+    return logged.join(keyed, matches, "left").select(
         "log_id", "operation_type", "changed_at", *[recovered if c == key else F.col(c) for c in source.columns]
     )
 
