@@ -179,7 +179,7 @@ SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS order_number, o_o
 SELECT l.log_id, l.operation_type, l.changed_at, o.cst_id, o.cst_key, o.cst_lastname, l.id AS _logged_id
 FROM ({{cdc_log}}) l LEFT JOIN ({{customers_now}}) o ON l.id = CAST(o.cst_id AS VARCHAR)
 WHERE l.table_name = 'crm_customer' {_IN_WINDOW}""",
-    "batch_end_of_table": """
+    "batch_end": """
 SELECT n.table_name, coalesce(max(l.changed_at), TIMESTAMP '2024-12-31 00:00:00') AS batch_end
 FROM (VALUES ('crm_customer'), ('crm_products'), ('crm_sales')) n(table_name)
 LEFT JOIN ({cdc_log}) l ON l.table_name = n.table_name GROUP BY n.table_name""",
@@ -194,7 +194,7 @@ QUALIFY row_number() OVER (PARTITION BY sls_ord_num
     "merge_strict": _merge("'UPDATE'", "'INSERT'"),
     "merge_upsert": _merge("'UPDATE', 'INSERT'", "'INSERT', 'UPDATE'"),
     "stream_merge": _merge("'UPDATE'", "'INSERT'"),
-    "diff_of_snapshots": """
+    "snapshot_diff": """
 SELECT CASE WHEN a.cst_id IS NULL THEN 'INSERT' WHEN b.cst_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation_type,
        coalesce(b.cst_id, a.cst_id) AS cst_id, b.cst_key, b.cst_lastname, b.cst_gndr, b._created_at
 FROM ({customers_then}) a FULL JOIN ({customers_now}) b ON a.cst_id = b.cst_id
@@ -211,22 +211,22 @@ FROM (SELECT file_name FROM ({order_files}) UNION SELECT file_name FROM ({order_
     "scd_end_date": """
 SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS valid_from,
        CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS DATE) - 1 AS valid_to FROM orders""",
-    "yyyymmdd_dates": f"SELECT sls_ord_num, sls_order_dt, {_day('sls_order_dt')} AS order_date FROM ({{crm_sales}})",
-    "iso_dates": """
+    "yyyymmdd_to_date": f"SELECT sls_ord_num, sls_order_dt, {_day('sls_order_dt')} AS order_date FROM ({{crm_sales}})",
+    "iso_to_date": """
 SELECT prd_id, try_cast(prd_start_dt AS DATE) AS starts, try_cast(prd_start_dt AS DATE) - 1 AS day_before FROM ({crm_products})""",
     "safe_unit_price": """
 SELECT sls_ord_num, CASE WHEN sls_price IS NULL OR sls_price <= 0
        THEN CAST(sls_sales AS DOUBLE) / CASE WHEN sls_quantity % 7 = 0 THEN NULL ELSE sls_quantity END
        ELSE CAST(sls_price AS DOUBLE) END AS unit_price FROM ({crm_sales})""",
-    "repair_amounts": f"""
+    "repair_amount": f"""
 SELECT sls_ord_num, CAST({_EXPECTED} AS BIGINT) AS expected, {_REPAIRED} AS amount FROM ({{crm_sales}})""",
-    "code_labels": f"""
+    "code_map": f"""
 SELECT cst_id, {_gender("cst_gndr")} AS gender,
        CASE upper(trim(cst_gndr)) WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female' ELSE cst_gndr END AS gender_or_code,
        {_marital("cst_marital_status")} AS marital FROM ({{crm_customers}})""",
-    "prefix_stripped": """
+    "strip_prefix": """
 SELECT cid, CASE WHEN starts_with(cid, 'NAS') THEN substr(cid, 4) ELSE cid END AS plain FROM ({erp_customers})""",
-    "composite_key_parts": """
+    "split_composite_key": """
 SELECT prd_id, replace(substr(prd_key, 1, 5), '-', '_') AS head, substr(prd_key, 7) AS tail, '' AS empty_tail FROM ({crm_products})""",
     "blank_to_label": """
 SELECT cid, CASE WHEN cntry IS NULL OR trim(cntry) = '' THEN 'n/a' ELSE trim(cntry) END AS country FROM ({erp_locations})""",
@@ -238,7 +238,7 @@ FROM ({{crm_customers}})""",
 SELECT count(*) AS row_count, CAST(9 AS BIGINT) AS column_count,
        'struct<sls_ord_num:string,sls_prd_key:string,sls_cust_id:int,sls_order_dt:int,sls_ship_dt:int,sls_due_dt:int,sls_sales:int,sls_quantity:int,sls_price:int>' AS schema
 FROM ({crm_sales})""",
-    "quality_of_sales": """
+    "quality_report": """
 WITH counted AS (SELECT count(*) FILTER (sls_ord_num IS NULL) AS a, count(*) FILTER (sls_sales IS NULL) AS b, count(*) FILTER (sls_price IS NULL) AS c,
                         count(*) FILTER (sls_sales < 0) AS d, count(*) FILTER (sls_price < 0) AS e FROM ({crm_sales}))
 SELECT 'sls_ord_num' AS column_name, 'not_null' AS check_name, a AS violations FROM counted

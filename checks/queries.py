@@ -49,40 +49,43 @@ AS_OF = date(2024, 6, 30)
 WINDOW = (datetime(2024, 1, 8), datetime(2024, 1, 22, 12, 30))
 
 
-def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+def query(name: str) -> Callable[[Query], Query]:
+    def register(build: Query) -> Query:
+        QUERIES[name] = build
+        return build
+
+    return register
 
 
 # --- cleaning -----------------------------------------------------------------
 
 
-@query
+@query("clean_crm_customers")
 def clean_crm_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_crm_customers(load(spark, sf_dir, "crm_customer_versions"))
 
 
-@query
+@query("clean_crm_products")
 def clean_crm_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_crm_products(load(spark, sf_dir, "crm_products"))
 
 
-@query
+@query("clean_crm_sales")
 def clean_crm_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_crm_sales(load(spark, sf_dir, "crm_sales"))
 
 
-@query
+@query("clean_erp_customers")
 def clean_erp_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_erp_customers(load(spark, sf_dir, "erp_customers"), as_of=AS_OF)
 
 
-@query
+@query("clean_erp_locations")
 def clean_erp_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_erp_locations(load(spark, sf_dir, "erp_locations"))
 
 
-@query
+@query("clean_erp_categories")
 def clean_erp_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_erp_categories(load(spark, sf_dir, "erp_categories"))
 
@@ -90,38 +93,38 @@ def clean_erp_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- star schema --------------------------------------------------------------
 
 
-@query
+@query("dim_customers")
 def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.build_dim_customers(
         load(spark, sf_dir, "crm_customers"), clean_erp_customers(spark, sf_dir), clean_erp_locations(spark, sf_dir)
     )
 
 
-@query
+@query("dim_products")
 def dim_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.build_dim_products(load(spark, sf_dir, "crm_products"), clean_erp_categories(spark, sf_dir))
 
 
-@query
+@query("dim_products_on_clean")
 def dim_products_on_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.build_dim_products(clean_crm_products(spark, sf_dir), clean_erp_categories(spark, sf_dir))
 
 
-@query
+@query("fact_sales")
 def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.build_fact_sales(
         load(spark, sf_dir, "crm_sales"), dim_products(spark, sf_dir), dim_customers(spark, sf_dir)
     )
 
 
-@query
+@query("fact_sales_on_clean")
 def fact_sales_on_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.build_fact_sales(
         clean_crm_sales(spark, sf_dir), dim_products_on_clean(spark, sf_dir), dim_customers(spark, sf_dir)
     )
 
 
-@query
+@query("surrogate_key_distributed")
 def surrogate_key_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     return with_surrogate_key(orders, "order_number", ["o_orderdate", "o_orderkey"])
@@ -130,7 +133,7 @@ def surrogate_key_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- changes ------------------------------------------------------------------
 
 
-@query
+@query("change_window")
 def change_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_changes(
         load(spark, sf_dir, "cdc_log"),
@@ -142,7 +145,7 @@ def change_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("pushed_change_query")
 def pushed_change_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sub-query a database would be sent, run by Spark on the same rows."""
     text = change_query(
@@ -159,7 +162,7 @@ def pushed_change_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("batch_end")
 def batch_end_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = load(spark, sf_dir, "cdc_log")
     ends = [
@@ -169,12 +172,12 @@ def batch_end_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends[0].unionByName(ends[1]).unionByName(ends[2])
 
 
-@query
+@query("latest_change_per_key")
 def latest_change_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(load(spark, sf_dir, "cdc_log"), ["table_name", "id"], ["changed_at", "log_id"])
 
 
-@query
+@query("distinct_changes")
 def distinct_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = load(spark, sf_dir, "cdc_log")
     return distinct_rows(
@@ -182,7 +185,7 @@ def distinct_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("one_row_per_key")
 def one_row_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = load(spark, sf_dir, "crm_sales").select("sls_ord_num", "sls_sales", "sls_quantity", "sls_price")
     return latest_per_key(sales, ["sls_ord_num"], ["sls_quantity", "sls_price", "sls_sales"])
@@ -200,34 +203,34 @@ def _merged(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return apply_changes(load(spark, sf_dir, "customers_then"), latest, ["cst_id"], mode=mode)
 
 
-@query
+@query("merge_strict")
 def merge_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, "strict")
 
 
-@query
+@query("merge_upsert")
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, "upsert")
 
 
-@query
+@query("snapshot_diff")
 def diff_of_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff(load(spark, sf_dir, "customers_then"), load(spark, sf_dir, "customers_now"), ["cst_id"])
 
 
-@query
+@query("apply_diff_roundtrip")
 def apply_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(
         load(spark, sf_dir, "customers_then"), diff_of_snapshots(spark, sf_dir), ["cst_id"], mode="strict"
     )
 
 
-@query
+@query("unprocessed_files")
 def unprocessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unprocessed(load(spark, sf_dir, "order_files"), load(spark, sf_dir, "order_ledger"), "orders")
 
 
-@query
+@query("ledger_insert_if_absent")
 def ledger_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping deliveries of file names; each name is kept once, with its first time."""
     ledger = FileLedger(spark, scratch_folder(spark), "orders")
@@ -240,7 +243,7 @@ def ledger_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- columns ------------------------------------------------------------------
 
 
-@query
+@query("scd_end_date")
 def scd_end_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of a customer's standing order: valid until the day before the next one."""
     orders = load(spark, sf_dir, "orders").select(
@@ -249,14 +252,14 @@ def scd_end_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_version_end(orders, "o_custkey", "valid_from", "valid_to", ["o_orderkey"])
 
 
-@query
+@query("yyyymmdd_to_date")
 def yyyymmdd_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = load(spark, sf_dir, "crm_sales")
     day = yyyymmdd_to_date(F.col("sls_order_dt"), sales.schema["sls_order_dt"].dataType)
     return sales.select("sls_ord_num", "sls_order_dt", day.alias("order_date"))
 
 
-@query
+@query("iso_to_date")
 def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = iso_to_date(F.col("prd_start_dt"))
     return load(spark, sf_dir, "crm_products").select(
@@ -264,7 +267,7 @@ def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("safe_unit_price")
 def safe_unit_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = load(spark, sf_dir, "crm_sales")
     quantity = F.when(F.col("sls_quantity") % 7 == 0, 0).otherwise(F.col("sls_quantity"))
@@ -272,7 +275,7 @@ def safe_unit_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales.select("sls_ord_num", price.alias("unit_price"))
 
 
-@query
+@query("repair_amount")
 def repair_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = load(spark, sf_dir, "crm_sales")
     types = {c: sales.schema[c].dataType for c in ("sls_quantity", "sls_price", "sls_sales")}
@@ -286,7 +289,7 @@ def repair_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("code_map")
 def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "crm_customers").select(
         "cst_id",
@@ -296,13 +299,13 @@ def code_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("strip_prefix")
 def prefix_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     cid = F.col("cid")
     return load(spark, sf_dir, "erp_customers").select(cid, strip_prefix(cid, "NAS").alias("plain"))
 
 
-@query
+@query("split_composite_key")
 def composite_key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("prd_key")
     return load(spark, sf_dir, "crm_products").select(
@@ -310,12 +313,12 @@ def composite_key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("blank_to_label")
 def blank_to_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "erp_locations").select("cid", label_if_blank(F.col("cntry")).alias("country"))
 
 
-@query
+@query("first_known_value")
 def first_known_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = load(spark, sf_dir, "crm_customers")
     gender = code_label(F.col("cst_gndr"), GENDER_LABELS)
@@ -323,7 +326,7 @@ def first_known_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select("cst_id", first_known(gender, marital).alias("first_known"))
 
 
-@query
+@query("current_versions")
 def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = clean_crm_products(spark, sf_dir)
     return products.filter(F.col("prd_end_dt").isNull()).select("prd_id", "prd_key", "prd_start_dt")
@@ -332,12 +335,12 @@ def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- quality ------------------------------------------------------------------
 
 
-@query
+@query("profile_snapshot")
 def profile_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(load(spark, sf_dir, "crm_sales"))
 
 
-@query
+@query("quality_report")
 def quality_of_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = ["sls_ord_num", "sls_sales", "sls_price"]
     return quality_report(load(spark, sf_dir, "crm_sales"), not_null=checked, not_negative=checked[1:])
@@ -346,7 +349,7 @@ def quality_of_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files, streams, whole runs -----------------------------------------------
 
 
-@query
+@query("snapshot_latest_load")
 def snapshot_latest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three dated snapshots written and read back; the newest row of each order."""
     root = scratch_folder(spark)
@@ -357,7 +360,7 @@ def snapshot_latest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_snapshot_rows(read_snapshots(spark, root), ["order_id"])
 
 
-@query
+@query("stream_merge")
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strict merge as a stream over change files, all of them in one batch."""
     root = scratch_folder(spark)
@@ -375,7 +378,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
-@query
+@query("daily_run")
 def daily_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First load and one day's run over all six tables; the fact with its customer's number and name."""
     tables = {

@@ -159,3 +159,17 @@ def test_whole_run(spark, lake):
     customer = lake.star("dim_customers").read().first()
     assert (customer.customer_id, customer.country) == (2, "Germany")
     assert lake.raw(CRM_PRODUCTS).version() == lake.raw(CRM_SALES).version() == 1
+
+
+def test_catalog_tables_hold_the_layers(spark, tmp_path):
+    lake = jobs.Lake(spark, str(tmp_path / "lake"), catalog="spark_catalog")
+    jobs.snapshot(lake, source(spark, {1: "a", 2: "b"}, []), CRM_CUSTOMERS, date(2024, 1, 1))
+    jobs.bootstrap(lake, CRM_CUSTOMERS, LOADED)
+    jobs.clean(lake, CRM_CUSTOMERS)
+    assert names_in(lake.raw(CRM_CUSTOMERS)) == {1: "a", 2: "b"}
+    assert spark.table("spark_catalog.clean.crm_customers").count() == 2
+    jobs.ingest(lake, source(spark, {1: "A"}, [("UPDATE", 1)]), CRM_CUSTOMERS, FIRST)
+    with pytest.raises(Exception, match="UNSUPPORTED_FEATURE.TABLE_OPERATION"):
+        jobs.merge(lake, CRM_CUSTOMERS)
+    for layer in ("raw", "clean"):
+        spark.sql(f"DROP DATABASE {layer} CASCADE")

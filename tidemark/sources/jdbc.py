@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,28 @@ def bounds_query(table: str, column: str) -> str:
     return f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) bounds"
 
 
+def _logged(table_name: str, after: datetime | str | None, until: datetime | str | None) -> str:
+    conditions = ["l.table_name = '" + table_name.replace("'", "''") + "'"]
+    if after is not None:
+        conditions.append(f"l.changed_at > TIMESTAMP '{after}'")
+    if until is not None:
+        conditions.append(f"l.changed_at <= TIMESTAMP '{until}'")
+    return " AND ".join(conditions)
+
+
+def batch_end_query(log: str, table_name: str) -> str:
+    """Time of the last logged change of a table; NULL if there is none."""
+    return f"(SELECT MAX(l.changed_at) AS batch_end FROM {log} l WHERE {_logged(table_name, None, None)}) batch_end"
+
+
+def change_bounds_query(
+    log: str, *, table_name: str, after: datetime | str | None, until: datetime | str | None
+) -> str:
+    """First and last log number in a window, from the log alone."""
+    where = _logged(table_name, after, until)
+    return f"(SELECT MIN(l.log_id) AS lo, MAX(l.log_id) AS hi FROM {log} l WHERE {where}) bounds"
+
+
 def change_query(
     log: str,
     source: str,
@@ -45,18 +67,18 @@ def change_query(
 
     The logged id comes back as ``_logged_id``, with which the key is recovered.
     """
-    conditions = ["l.table_name = '" + table_name.replace("'", "''") + "'"]
-    if after is not None:
-        conditions.append(f"l.changed_at > TIMESTAMP '{after}'")
-    if until is not None:
-        conditions.append(f"l.changed_at <= TIMESTAMP '{until}'")
     picked = ", ".join(["l.log_id", "l.operation_type", "l.changed_at", *[f"o.{c}" for c in columns]])
     return (
         f"(SELECT {picked}, l.id AS _logged_id FROM {log} l LEFT JOIN {source} o"
-        f" ON l.id = CAST(o.{key} AS {text_type}) WHERE {' AND '.join(conditions)}) changes"
+        f" ON l.id = CAST(o.{key} AS {text_type}) WHERE {_logged(table_name, after, until)}) changes"
     )
 
 
+def ask(spark: SparkSession, database: JdbcDatabase, question: str) -> Row:
+    """The one row a sub-query answers with."""
+    return scan_table(spark, database, question).first()
+
+
 def scan_table(
     spark: SparkSession,
     database: JdbcDatabase,
@@ -80,9 +102,7 @@ def scan_table(
     reader = spark.read.format("jdbc").options(url=database.url, dbtable=table, **properties)
     if split_column is not None and parts > 1:
         if bounds is None:
-            question = bounds_query(table, split_column)
-            asked = spark.read.format("jdbc").options(url=database.url, dbtable=question, **properties).load()
-            bounds = tuple(asked.first())
+            bounds = tuple(ask(spark, database, bounds_query(table, split_column)))
         if bounds[0] is not None:
             reader = reader.options(**split_options(split_column, bounds[0], bounds[1], parts))
     return reader.load()

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.operators.changes import latest_per_key
-from tidemark.operators.merge import apply_changes
 from tidemark.operators.staging import staged
 from tidemark.sinks.tables import VersionedTable
 
@@ -46,7 +45,7 @@ def run_merge_stream(
         if table.has_batch(batch_id):
             return
         latest = staged(latest_per_key(batch, key, order_by))
-        table.replace(apply_changes(table.read(), latest, key, mode=mode), batch_id=batch_id)
+        table.merge(latest, key, mode=mode, batch_id=batch_id)
 
     query = (
         changes.writeStream.foreachBatch(merge_batch)
