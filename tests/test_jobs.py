@@ -162,7 +162,7 @@ def test_whole_run(spark, lake):
 
 
 def test_catalog_tables_hold_the_layers(spark, tmp_path):
-    lake = jobs.Lake(spark, str(tmp_path / "lake"), catalog="spark_catalog")
+    lake = jobs.Lake(spark, str(tmp_path / "lake"), catalog="spark_catalog", day_partitions=True)
     jobs.snapshot(lake, source(spark, {1: "a", 2: "b"}, []), CRM_CUSTOMERS, date(2024, 1, 1))
     jobs.bootstrap(lake, CRM_CUSTOMERS, LOADED)
     jobs.clean(lake, CRM_CUSTOMERS)

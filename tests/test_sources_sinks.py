@@ -105,6 +105,16 @@ def test_versioned_table(spark, rows, folder):
     assert rows(table.read(), "k") == [(1,), (2,)]
 
 
+def test_day_partitions_are_pruned(spark, rows, folder):
+    df = spark.createDataFrame([(n, datetime(2024, 1, n)) for n in (1, 2, 3)], "k int, _created_at timestamp")
+    table = VersionedTable(spark, folder)
+    table.replace(df, day_of="_created_at")
+    late = table.read(since=date(2024, 1, 2))
+    assert rows(late, "k") == [(2,), (3,)]
+    assert late.columns == df.columns and len(late.inputFiles()) == 3
+    assert "PartitionFilters: [isnotnull(_created_date" in late._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_version_that_was_not_committed_is_not_read(spark, rows, folder):
     table = VersionedTable(spark, folder)
     table.replace(spark.createDataFrame([(1,)], "k int"))
