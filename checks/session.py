@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def local_session(name: str, cores: str = "8") -> SparkSession:
+    """Tables saved to the session catalog go to a new temporary folder."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -14,6 +17,7 @@ def local_session(name: str, cores: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tidemark-warehouse-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
