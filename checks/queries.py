@@ -354,7 +354,7 @@ def snapshot_latest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three dated snapshots written and read back; the newest row of each order."""
     root = scratch_folder(spark)
     snapshots = load(spark, sf_dir, "order_snapshots")
-    for day in ("1996-06-30", "1998-06-30", "2000-06-30"):
+    for day in ("1996-12-31", "1998-12-31", "2001-12-31"):
         rows = snapshots.filter(F.col("load_date") == F.lit(day).cast("date")).drop("load_date")
         write_snapshot(rows, root, source="CRM", table="orders", load_date=day)
     return newest_snapshot_rows(read_snapshots(spark, root), ["order_id"])

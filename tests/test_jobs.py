@@ -135,6 +135,34 @@ def test_stream_gives_the_same_table(spark, tmp_path):
     assert table.version() == version + 1
 
 
+def test_a_stream_batch_that_was_committed_is_not_applied_again(spark, tmp_path, monkeypatch):
+    schema = "operation_type string, n int, k int, v string"
+    files, checkpoint = str(tmp_path / "files"), str(tmp_path / "checkpoint")
+    spark.createDataFrame([("DELETE", 1, 1, None)], schema).write.parquet(files)
+    table = VersionedTable(spark, str(tmp_path / "table"))
+    table.replace(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
+
+    def run():
+        stream = stream_changes(spark, files, spark.read.parquet(files).schema)
+        run_merge_stream(stream, table.root, key=["k"], order_by=["n"], checkpoint=checkpoint, mode="upsert")
+
+    merge = VersionedTable.merge
+
+    def merge_and_die(self, *args, **kwargs):
+        merge(self, *args, **kwargs)
+        raise RuntimeError("lost after the commit")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(VersionedTable, "merge", merge_and_die)
+        with pytest.raises(Exception, match="lost after the commit"):
+            run()
+    assert table.version() == 2
+    table.replace(table.read().union(spark.createDataFrame([(1, "since")], "k int, v string")))
+    run()
+    assert table.version() == 3
+    assert {(r.k, r.v) for r in table.read().collect()} == {(2, "b"), (1, "since")}
+
+
 def test_whole_run(spark, lake):
     tables = {
         "crm.customers": customers(spark, {1: "a", 2: "b"}),
