@@ -11,10 +11,10 @@ FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck
 def test_crm_customers(spark, rows):
     df = spark.createDataFrame(
         [
-            (1, " AW1 ", " Jon", "Yang ", "m", " f ", "2024-01-01", 1, "first"),
-            (1, "AW1", "Jon", "Yang", " S", "M", "2024-01-01", 2, "second"),
-            (2, "AW2", None, "Huang", "Married", "n/a", None, 1, "only"),
-            (None, "AW3", "No", "Id", "S", "M", None, 9, "dropped"),
+            (1, " N-1 ", " Ada", "Byron ", "m", " f ", "2024-01-01", 1, "first"),
+            (1, "N-1", "Ada", "Byron ", " S", "M", "2024-01-01", 2, "second"),
+            (2, "N-2", None, "Hopper", "Married", "n/a", None, 1, "only"),
+            (None, "N-3", "No", "Id", "S", "M", None, 9, "dropped"),
         ],
         "cst_id int, cst_key string, cst_firstname string, cst_lastname string, cst_marital_status string,"
         " cst_gndr string, cst_create_date string, _created_at int, other string",
@@ -22,8 +22,8 @@ def test_crm_customers(spark, rows):
     out = clean.clean_crm_customers(df)
     assert out.columns == df.columns
     assert rows(out) == [
-        (1, "AW1", "Jon", "Yang", "Single", "Male", "2024-01-01", 2, "second"),
-        (2, "AW2", None, "Huang", "Married", "n/a", None, 1, "only"),
+        (1, "N-1", "Ada", "Byron", "Single", "Male", "2024-01-01", 2, "second"),
+        (2, "N-2", None, "Hopper", "Married", "n/a", None, 1, "only"),
     ]
 
 
@@ -36,11 +36,11 @@ PRODUCTS = (
 def test_crm_products(spark, rows):
     df = spark.createDataFrame(
         [
-            (1, "CO-RF-FR-1", "Frame", None, "R ", "2011-07-01", "1999-01-01", None, "x"),
-            (2, "CO-RF-FR-1", "Frame", 12, "m", "2012-07-01", None, None, "x"),
-            (3, "CO-RF-FR-1", "Frame", 13, "Mountain", "2013-07-01", "2000-01-01", None, "x"),
-            (4, "AC-HE-FR-1", "Helmet", 4, None, "2011-07-01", None, None, "x"),
-            (5, "AC-HE-FR-2", "Helmet", 4, "S", "later", None, None, "x"),
+            (1, "TO-OL-HM-1", "Hammer", None, "R ", "2016-03-01", "1999-01-01", None, "x"),
+            (2, "TO-OL-HM-1", "Hammer", 12, "m", "2017-03-01", None, None, "x"),
+            (3, "TO-OL-HM-1", "Hammer", 13, "Mountain", "2018-03-01", "2000-01-01", None, "x"),
+            (4, "GA-RD-HM-1", "Rake", 4, None, "2016-03-01", None, None, "x"),
+            (5, "GA-RD-HM-2", "Rake", 4, "S", "later", None, None, "x"),
         ],
         PRODUCTS,
     )
@@ -49,11 +49,11 @@ def test_crm_products(spark, rows):
         "prd_id", "cat_id", "prd_key", "prd_nm", "prd_cost", "prd_line", "prd_start_dt", "prd_end_dt", "_created_at",
     ]
     assert rows(out.drop("prd_nm", "_created_at")) == [
-        (1, "CO_RF", "FR-1", 0, "Road", date(2011, 7, 1), date(2012, 6, 30)),
-        (2, "CO_RF", "FR-1", 12, "Mountain", date(2012, 7, 1), date(2013, 6, 30)),
-        (3, "CO_RF", "FR-1", 13, "n/a", date(2013, 7, 1), None),
-        (4, "AC_HE", "FR-1", 4, "n/a", date(2011, 7, 1), None),
-        (5, "AC_HE", "FR-2", 4, "Other Sales", None, None),
+        (1, "TO_OL", "HM-1", 0, "Road", date(2016, 3, 1), date(2017, 2, 28)),
+        (2, "TO_OL", "HM-1", 12, "Mountain", date(2017, 3, 1), date(2018, 2, 28)),
+        (3, "TO_OL", "HM-1", 13, "n/a", date(2018, 3, 1), None),
+        (4, "GA_RD", "HM-1", 4, "n/a", date(2016, 3, 1), None),
+        (5, "GA_RD", "HM-2", 4, "Other Sales", None, None),
     ]
 
 
@@ -89,41 +89,39 @@ def test_crm_sales(spark, rows):
 def test_erp_customers(spark, rows):
     df = spark.createDataFrame(
         [
-            ("NAS00011", date(1990, 5, 1), "F", "kept"),
-            ("AW00022", date(1985, 1, 1), "MALE", "kept"),
-            ("NAS999", date(2999, 1, 1), "m", "kept"),
-            ("XYZ", None, " female ", "kept"),
-            ("ABC", date(2000, 1, 1), "x", "kept"),
+            ("NAS-7", date(1961, 2, 28), "FEMALE ", 1),
+            ("K7NAS", date(1999, 12, 31), " m", 2),
+            ("NAS", date(3001, 6, 15), "Male", 3),
+            ("nas8", None, None, 4),
+            (None, date(1970, 1, 1), "f.", 5),
         ],
-        "cid string, bdate date, gen string, other string",
+        "cid string, bdate date, gen string, line int",
     )
-    assert rows(clean.clean_erp_customers(df)) == [
-        ("00011", date(1990, 5, 1), "Female", "kept"),
-        ("999", None, "Male", "kept"),
-        ("ABC", date(2000, 1, 1), "n/a", "kept"),
-        ("AW00022", date(1985, 1, 1), "Male", "kept"),
-        ("XYZ", None, "Female", "kept"),
+    assert rows(clean.clean_erp_customers(df), "line", "cid", "bdate", "gen") == [
+        (1, "-7", date(1961, 2, 28), "Female"),
+        (2, "K7NAS", date(1999, 12, 31), "Male"),
+        (3, "", None, "Male"),
+        (4, "nas8", None, "n/a"),
+        (5, None, date(1970, 1, 1), "n/a"),
     ]
-    early = clean.clean_erp_customers(df, as_of=date(1989, 1, 1))
-    assert {r.cid for r in early.collect() if r.bdate} == {"AW00022"}
+    early = clean.clean_erp_customers(df, as_of=date(1970, 1, 1))
+    assert {r.line for r in early.collect() if r.bdate} == {1, 5}
 
 
 def test_erp_locations_and_categories(spark, rows):
-    places = spark.createDataFrame(
-        [("AW-1", "DE"), ("A-W-2", "US"), ("3", "USA "), ("4", ""), ("5", None), ("6", " France "), ("7", "de")],
-        "cid string, cntry string",
-    )
+    spellings = ["DE ", "US", " USA", "   ", None, "  Viet Nam", "Usa", "United States"]
+    places = spark.createDataFrame([(f"{n}--{n}-", c) for n, c in enumerate(spellings)], "cid string, cntry string")
     assert rows(clean.clean_erp_locations(places)) == [
-        ("3", "United States"), ("4", "n/a"), ("5", "n/a"), ("6", "France"), ("7", "de"), ("AW1", "Germany"),
-        ("AW2", "United States"),
+        ("00", "Germany"), ("11", "United States"), ("22", "United States"), ("33", "n/a"), ("44", "n/a"),
+        ("55", "Viet Nam"), ("66", "Usa"), ("77", "United States"),
     ]
     groups = spark.createDataFrame(
-        [("CO_PD", " Bikes ", "Mountain  ", " Yes"), (" A ", None, "", "No")],
+        [("TO_OL", "  Tools", "Hand tools ", " No "), (" A ", None, "", "Yes")],
         "id string, cat string, subcat string, maintenance string",
     )
     assert rows(clean.clean_erp_categories(groups)) == [
-        (" A ", None, "", "No"),
-        ("CO_PD", "Bikes", "Mountain", "Yes"),
+        (" A ", None, "", "Yes"),
+        ("TO_OL", "Tools", "Hand tools", "No"),
     ]
 
 

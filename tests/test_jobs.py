@@ -167,13 +167,13 @@ def test_whole_run(spark, lake):
     tables = {
         "crm.customers": customers(spark, {1: "a", 2: "b"}),
         "crm.products": spark.createDataFrame(
-            [(1, "CO-RF-P1", "p", 5, "R", "2024-01-01", None)],
+            [(1, "TO-OL-P1", "p", 5, "R", "2024-01-01", None)],
             "prd_id int, prd_key string, prd_nm string, prd_cost int, prd_line string, prd_start_dt string, prd_end_dt string",
         ),
         "crm.sales": spark.createDataFrame([("S1", "P1", 2, 20240101, 20240102, 20240103, 10, 2, 5)], SALES),
         "erp.customers": spark.createDataFrame([("NASAW1", date(1990, 1, 1), "F")], "cid string, bdate date, gen string"),
         "erp.locations": spark.createDataFrame([("AW-2", "DE")], "cid string, cntry string"),
-        "erp.categories": spark.createDataFrame([("CO_RF", " C", "S", "Yes")], "id string, cat string, subcat string, maintenance string"),
+        "erp.categories": spark.createDataFrame([("TO_OL", " C", "S", "Yes")], "id string, cat string, subcat string, maintenance string"),
     }
     logs = {"CRM": log(spark, [("DELETE", 1)]), "ERP": log(spark, [])}
     whole = FrameSource(tables, logs)

@@ -15,20 +15,20 @@ def customers(spark, id_type="int"):
     ids = [3, 1, 2] if id_type == "int" else ["3", "1", "2"]
     return spark.createDataFrame(
         [
-            (ids[0], "AW3", " Ann ", "Lee ", "x", "n/a", "2024-01-03"),
-            (ids[1], "AW1", "Jon", "Yang", "M", "Male", "2024-01-01"),
-            (ids[2], "AW2", "Eva", "Huang", " single", None, "2024-01-02"),
+            (ids[0], "N-3", " Ada ", "Byron ", "x", "n/a", "2024-01-03"),
+            (ids[1], "N-1", "Alan", "Turing", "M", "Male", "2024-01-01"),
+            (ids[2], "N-2", "Grace", "Hopper", " single", None, "2024-01-02"),
         ],
         CUSTOMERS.format(id=id_type),
     )
 
 
 def people(spark):
-    return spark.createDataFrame([("AW1", "1971-10-06", "Female"), ("AW2", "1976-05-10", "f")], "cid string, bdate string, gen string")
+    return spark.createDataFrame([("N-1", "1912-06-23", "Female"), ("N-2", "1906-12-09", "f")], "cid string, bdate string, gen string")
 
 
 def places(spark):
-    return spark.createDataFrame([("AW1", "Australia"), ("AW2", None)], "cid string, cntry string")
+    return spark.createDataFrame([("N-1", "Iceland"), ("N-2", None)], "cid string, cntry string")
 
 
 def test_dim_customers(spark):
@@ -38,18 +38,18 @@ def test_dim_customers(spark):
         "gender", "birthdate", "create_date",
     ]
     assert [tuple(r) for r in out.orderBy("customer_key").collect()] == [
-        (1, 1, "AW1", "Jon", "Yang", "Australia", "Married", "Male", "1971-10-06", "2024-01-01"),
-        (2, 2, "AW2", "Eva", "Huang", "n/a", "Single", "Female", "1976-05-10", "2024-01-02"),
-        (3, 3, "AW3", "Ann", "Lee", "n/a", "n/a", "n/a", None, "2024-01-03"),
+        (1, 1, "N-1", "Alan", "Turing", "Iceland", "Married", "Male", "1912-06-23", "2024-01-01"),
+        (2, 2, "N-2", "Grace", "Hopper", "n/a", "Single", "Female", "1906-12-09", "2024-01-02"),
+        (3, 3, "N-3", "Ada", "Byron", "n/a", "n/a", "n/a", None, "2024-01-03"),
     ]
 
 
 def test_customers_with_repeated_or_missing_lookup_rows(spark, rows):
     """As two left joins give them: every pair of a customer's ERP rows, and NULL ids match nothing."""
     erp = spark.createDataFrame(
-        [("AW1", "b1", "F"), ("AW1", "b2", "F"), ("AW9", "b9", "M"), (None, "b0", "M")], "cid string, bdate string, gen string"
+        [("N-1", "b1", "F"), ("N-1", "b2", "F"), ("N-9", "b9", "M"), (None, "b0", "M")], "cid string, bdate string, gen string"
     )
-    where = spark.createDataFrame([("AW1", "p1"), ("AW1", "p2"), ("AW2", "p3"), (None, "p0")], "cid string, cntry string")
+    where = spark.createDataFrame([("N-1", "p1"), ("N-1", "p2"), ("N-2", "p3"), (None, "p0")], "cid string, cntry string")
     crm = customers(spark).union(customers(spark).limit(1).selectExpr("9", "CAST(NULL AS STRING)", "'N'", "'N'", "'M'", "'F'", "''"))
     out = star.customer_attributes(crm, erp, where)
     assert rows(out, "customer_id", "birthdate", "country") == [
@@ -60,10 +60,10 @@ def test_customers_with_repeated_or_missing_lookup_rows(spark, rows):
 def products(spark):
     return spark.createDataFrame(
         [
-            (21, "CO-RF-FR-2", "Frame", 12, "Road", "2012-07-01", None, None, "x"),
-            (20, "CO-RF-FR-1", "Frame", 10, "R", "2011-07-01", None, None, "x"),
-            (19, "CO-RF-FR-1", "Frame", 9, "R", "2010-07-01", "2011-06-30", None, "x"),
-            (22, "ZZ-ZZ-HL-1", "Helmet", None, "?", "2013-07-01", None, None, "x"),
+            (21, "TO-OL-HM-2", "Hammer", 12, "Road", "2017-03-01", None, None, "x"),
+            (20, "TO-OL-HM-1", "Hammer", 10, "R", "2016-03-01", None, None, "x"),
+            (19, "TO-OL-HM-1", "Hammer", 9, "R", "2015-03-01", "2016-02-29", None, "x"),
+            (22, "GA-RD-RK-1", "Rake", None, "?", "2018-03-01", None, None, "x"),
         ],
         PRODUCTS,
     )
@@ -71,7 +71,7 @@ def products(spark):
 
 def categories(spark):
     return spark.createDataFrame(
-        [("CO_RF", "Components", "Road Frames", "Yes")], "id string, cat string, subcat string, maintenance string"
+        [("TO_OL", "Tools", "Hand tools", "Yes")], "id string, cat string, subcat string, maintenance string"
     )
 
 
@@ -79,9 +79,9 @@ def test_dim_products(spark):
     out = star.build_dim_products(products(spark), categories(spark))
     kept = out.orderBy("product_key").drop("product_name").collect()
     assert [tuple(r) for r in kept] == [
-        (1, 20, "FR-1", "CO_RF", "Components", "Road Frames", "Yes", 10, "Road", "2011-07-01"),
-        (2, 21, "FR-2", "CO_RF", "Components", "Road Frames", "Yes", 12, "Road", "2012-07-01"),
-        (3, 22, "HL-1", "ZZ_ZZ", "n/a", "n/a", "n/a", None, "n/a", "2013-07-01"),
+        (1, 20, "HM-1", "TO_OL", "Tools", "Hand tools", "Yes", 10, "Road", "2016-03-01"),
+        (2, 21, "HM-2", "TO_OL", "Tools", "Hand tools", "Yes", 12, "Road", "2017-03-01"),
+        (3, 22, "RK-1", "GA_RD", "n/a", "n/a", "n/a", None, "n/a", "2018-03-01"),
     ]
 
 
@@ -89,9 +89,9 @@ def test_dim_products_from_cleaned_products(spark):
     cleaned = clean.clean_crm_products(products(spark))
     out = star.build_dim_products(cleaned, categories(spark)).orderBy("product_key").collect()
     assert [(r.product_id, r.product_number, r.category_id, r.cost, r.product_line) for r in out] == [
-        (20, "FR-1", "CO_RF", 10, "Road"),
-        (21, "FR-2", "CO_RF", 12, "n/a"),  # cleaning knows one-letter line codes only
-        (22, "HL-1", "ZZ_ZZ", 0, "n/a"),
+        (20, "HM-1", "TO_OL", 10, "Road"),
+        (21, "HM-2", "TO_OL", 12, "n/a"),  # cleaning knows one-letter line codes only
+        (22, "RK-1", "GA_RD", 0, "n/a"),
     ]
 
 
@@ -99,10 +99,10 @@ def test_dim_products_from_cleaned_products(spark):
 def test_fact_sales(spark, rows, id_type):
     sales = spark.createDataFrame(
         [
-            ("SO1", "FR-1", 1, 20240115, 20240116, 20240117, 30, 3, 10),
-            ("SO2", "FR-2", 2, 0, None, 20240117, -30, 3, None),
+            ("SO1", "HM-1", 1, 20240115, 20240116, 20240117, 30, 3, 10),
+            ("SO2", "HM-2", 2, 0, None, 20240117, -30, 3, None),
             ("SO3", "none", 9, 20240115, 20240116, 20240117, 31, 3, -10),
-            ("SO4", "HL-1", None, 20240115, 20240116, 20240117, 5, 0, 0),
+            ("SO4", "RK-1", None, 20240115, 20240116, 20240117, 5, 0, 0),
         ],
         SALES,
     )
