@@ -24,10 +24,9 @@ def yyyymmdd_to_date(column: Column, data_type: DataType) -> Column:
         return F.when(column.rlike("^[0-9]{8}$"), iso.try_cast("date"))
     column = column.try_cast("int")
     year, month, day = (column / 10000).cast("int"), (column / 100).cast("int") % 100, column % 100
-    eight_digits = column.between(10_000_000, 99_999_999)
-    first = F.when(eight_digits & month.between(1, 12), F.make_date(year, month, F.lit(1)))
-    date_of_day = F.date_add(first, day - 1)
-    return F.when(F.month(date_of_day) == month, date_of_day)
+    month_exists = column.between(10_000_000, 99_999_999) & month.between(1, 12)
+    last_day = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.when(month_exists, F.when((day >= 1) & (day <= last_day), F.make_date(year, month, day)))
 
 
 def iso_to_date(column: Column) -> Column:
