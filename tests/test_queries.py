@@ -2,13 +2,14 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import difference, duck
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 def test_every_query_has_its_sql():
-    assert sorted(entry.oracle_sql()) == NAMES
+    assert [n for n in NAMES if n not in entry.oracle_sql()] == []
 
 
 @pytest.fixture(scope="module")
