@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, langid, simhash
+from tidemark.operators.staging import staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = staged(simhash.fingerprints(_table(spark, sf_dir, "documents"), shingle=3, bits=64))
+    linked = simhash.near_duplicates(marked, "doc_id", bits=64, budgets=((64, 2),))
+    return linked.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
+    predicted = langid.predict(docs, model)
+    return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_langid": op3_langid,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
