@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, simhash
+from tidemark.llm import bpe, curriculum, langid, simhash
 from tidemark.operators.staging import staged
 
 
@@ -22,6 +22,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(staged(curriculum.sizes(_table(spark, sf_dir, "documents"))))
+    placed = curriculum.positions(mixed)
+    taken = F.aggregate("turns", F.lit(0).cast("bigint"), lambda total, turn: total + turn["words"])
+    first = F.array_min(F.transform("turns", lambda turn: turn["position"]))
+    ordered = placed.withColumns({"taken": taken, "first": first}).orderBy(F.col("first").asc_nulls_last(), "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
@@ -35,7 +44,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_curriculum": op2_curriculum,
     "op3_langid": op3_langid,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+
+# The sums of a source run over all its documents in the order of their draw, and the excess
+# over the limits is shared in rounds written out as one level.
+_MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(COALESCE(LEN(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw
+  FROM documents
+), sources AS (
+  SELECT source, CAST(SUM(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT o.source, o.source_size, o.weight,
+    (SELECT 1.5::DOUBLE * SUM(a.source_size) - COALESCE(SUM(CASE WHEN 2.0::DOUBLE * a.source_size / a.weight < 2.0::DOUBLE * o.source_size / o.weight THEN 2.0::DOUBLE * a.source_size END), 0) FROM sources a)
+    / (SELECT SUM(CASE WHEN 2.0::DOUBLE * a.source_size / a.weight < 2.0::DOUBLE * o.source_size / o.weight THEN 0 ELSE a.weight END) FROM sources a) AS level
+  FROM sources o
+), planned AS (
+  SELECT s.source, s.source_size, LEAST(2.0::DOUBLE * s.source_size, s.weight * (
+    SELECT arg_min(l.level, 2.0::DOUBLE * l.source_size / l.weight) FROM levels l WHERE l.level * l.weight <= 2.0::DOUBLE * l.source_size)) AS target
+  FROM sources s
+), begun AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target,
+    CAST(COALESCE(SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begun
+  FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
+), parts AS (
+  SELECT *, CAST(floor(target + 0.5::DOUBLE) AS BIGINT) AS words FROM begun
+)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size
+    + GREATEST(0, LEAST(size, words % source_size - begun)) END AS taken
+FROM parts
+"""
+ORACLES: dict[str, str] = {"op2_curriculum": _MIX}
