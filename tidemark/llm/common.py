@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: a word is a run of anything but these six space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def words(text: Column) -> Column:
-    """The words of a text as an array; NULL counts as empty."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark application, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as folder:
+        copy = shutil.copytree(package, f"{folder}/tree/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tidemark-package-')}/{package.name}", "zip", copy.rpartition("/")[0])
+    context.addPyFile(archive)
+    context._tidemark_shipped = True
+
+
+def map_batches(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(function, schema)
+
+
 def in_parts(docs: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over record batches cut to at most ``_ROWS`` rows, so that few long texts are Python objects at once."""
 
@@ -32,7 +49,7 @@ def in_parts(docs: DataFrame, function, schema: str) -> DataFrame:
 
         return function(cut())
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 _ROWS = 512

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, curriculum, langid, simhash
+from tidemark.llm import balltree, bpe, chat, curriculum, hilbert, langid, simhash
 from tidemark.operators.staging import staged
 
 
@@ -38,6 +38,27 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(chat.as_log(table.unionByName(hard))))
+
+
+def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source", "lang"
+    )
+    placed = hilbert.ordered(staged(rows), logarithms=["size"], ranges=["doc_id"], names=["source", "lang"])
+    sharded = hilbert.cut(staged(placed), 40, order_by=["curve", "doc_id"])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_curriculum": op2_curriculum,
     "op3_langid": op3_langid,
+    "op4_balltree": op4_balltree,
+    "op6_chat": op6_chat,
+    "op7_hilbert": op7_hilbert,
     "op10_bpe": op10_bpe,
 }
 
@@ -81,4 +105,35 @@ SELECT doc_id, size, source_size, target,
     + GREATEST(0, LEAST(size, words % source_size - begun)) END AS taken
 FROM parts
 """
-ORACLES: dict[str, str] = {"op2_curriculum": _MIX}
+
+_TOP = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(COALESCE(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(20 + length(regexp_replace(role, '(\\|<turn>|</turn>|### |:)', '\\\1', 'g'))
+    + length(regexp_replace(text, '(\\|<turn>|</turn>|### )', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+ORACLES: dict[str, str] = {"op2_curriculum": _MIX, "op4_balltree": _TOP, "op6_chat": _CHAT}

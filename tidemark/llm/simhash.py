@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_parts, text_or_empty
+from tidemark.llm.common import in_parts, map_batches, text_or_empty
 from tidemark.operators.staging import staged
 
 Budgets = Sequence[tuple[int, int]]
@@ -249,7 +249,7 @@ def links(fingerprints: DataFrame, *, bits: int = 64, offsets: Sequence[int] = (
                 columns = [pa.array(np.full(len(key), trie, np.int32)), pa.array(key), values]
                 yield pa.RecordBatch.from_arrays(columns, ["trie", "key", "fingerprint"])
 
-    rows = fingerprints.select("fingerprint").mapInArrow(keyed, "trie int, key bigint, fingerprint binary")
+    rows = map_batches(fingerprints.select("fingerprint"), keyed, "trie int, key bigint, fingerprint binary")
     rows = staged(rows)
     depth = STEP if budgets[0][1] else max(STEP, budgets[0][0])
     pairs = staged(_first_pairs(_nodes(rows, depth), depth, _allowed(budgets, depth)))
@@ -285,7 +285,7 @@ def links(fingerprints: DataFrame, *, bits: int = 64, offsets: Sequence[int] = (
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return todo.mapInArrow(walked, "a binary, b binary")
+    return map_batches(todo, walked, "a binary, b binary")
 
 
 def components(pairs: DataFrame) -> DataFrame:
