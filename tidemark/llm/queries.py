@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import balltree, bpe, chat, curriculum, doubling, hilbert, langid, simhash
+from tidemark.llm import balltree, bpe, chat, curriculum, doubling, hilbert, langid, simhash, sketch
 from tidemark.operators.staging import staged
 
 
@@ -59,6 +59,10 @@ def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.without_repeats(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_balltree": op4_balltree,
     "op6_chat": op6_chat,
     "op7_hilbert": op7_hilbert,
+    "op8_sketch": op8_sketch,
     "op9_doubling": op9_doubling,
     "op10_bpe": op10_bpe,
 }
