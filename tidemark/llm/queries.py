@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import balltree, bpe, chat, curriculum, doubling, hilbert, langid, simhash, sketch
+from tidemark.llm import balltree, bpe, chat, curriculum, doubling, hilbert, langid, pii, simhash, sketch
 from tidemark.operators.staging import staged
 
 
@@ -42,6 +42,10 @@ def op4_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curriculum": op2_curriculum,
     "op3_langid": op3_langid,
     "op4_balltree": op4_balltree,
+    "op5_pii": op5_pii,
     "op6_chat": op6_chat,
     "op7_hilbert": op7_hilbert,
     "op8_sketch": op8_sketch,
