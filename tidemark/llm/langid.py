@@ -53,6 +53,11 @@ def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     return labelled.join(shares, "lang").filter(drawn < F.col("share")).select("lang", "text")
 
 
+def _parts(text: Column, n: int) -> Column:
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.transform(places, lambda at: F.substring(text, at, F.lit(n)))
+
+
 def learn(docs: DataFrame, *, per_language: int = 800, least: int = 3) -> Model:
     """A model from rows of ``docs(doc_id, text, lang)`` that have id, text and label."""
     labelled = docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
@@ -62,8 +67,7 @@ def learn(docs: DataFrame, *, per_language: int = 800, least: int = 3) -> Model:
     padded = F.concat(F.lit("^"), F.col("gram"), F.lit("$"))
     kinds = [words.select("lang", F.lit(0).alias("length"), "gram", "count")]
     for n in range(1, N + 1):
-        places = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-        parts = words.select("lang", "count", F.explode(F.transform(places, lambda at, n=n: F.substring(padded, at, F.lit(n)))).alias("gram"))
+        parts = words.select("lang", "count", F.explode(_parts(padded, n)).alias("gram"))
         kinds.append(parts.groupBy("lang", "gram").agg(F.sum("count").alias("count")).select("lang", F.lit(n).alias("length"), "gram", "count"))
     counts = kinds[0]
     for kind in kinds[1:]:
