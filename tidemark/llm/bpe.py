@@ -23,7 +23,7 @@ import codecs
 import hashlib
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -280,17 +280,19 @@ def _content(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int) of every row of ``docs(doc_id, text)``."""
-    content, key = _content(docs.sparkSession, path), docs.schema["doc_id"].dataType.simpleString()
+def encode(docs: DataFrame, path: str, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns and ``ids`` (array of int) of the ``text`` of every row of ``docs``."""
+    content = _content(docs.sparkSession, path)
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value)
         for batch in batches:
-            ids = [_unpack(encoder.encode(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [_unpack(encoder.encode(t.as_py())) for t in batch.column(batch.num_columns - 1)]
+            columns = [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "ids"])
 
-    return in_parts(docs.select("doc_id", text_or_empty()), run, f"doc_id {key}, ids array<int>")
+    return in_parts(docs.select(*carry, text_or_empty().alias("_encoded")), run, f"{fields}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:

@@ -27,16 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, text_or_empty
-from tidemark.operators.staging import staged
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by the source's place in code point order, repeating
 SLOPES = (-0.5, 0.0, 0.5)  # change of the weight over the run, as a share of it, repeating
 BUCKET, LEAST_BUCKETS = 4096, 1024
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and the number of words of every row of ``docs``."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"))
+def sizes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``source``, carried columns and the number of words of every row of ``docs``."""
+    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), *carry, size)
 
 
 def targets(totals: DataFrame, *, demand: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS) -> DataFrame:
@@ -63,12 +63,17 @@ def targets(totals: DataFrame, *, demand: float = 1.5, most: float = 2.0, weight
     return filled.select("source", "source_size", "place", reached.alias("target"))
 
 
+def _group(source: str):
+    """A source's name as a key that is never NULL, so that sums and joins share one way of dealing rows out."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("group")
+
+
 def mix(sized: DataFrame, *, demand: float = 1.5, most: float = 2.0, weights: Sequence[float] = WEIGHTS, carry: Sequence[str] = ()) -> DataFrame:
     """What the mix takes of every row of ``sized(doc_id, source, size)``.
 
     ``source_size``, ``target``, ``begin`` (words of the source before this document),
     ``whole`` (passes that take it whole), ``rest`` (its words in the last, partial pass)
-    and ``taken`` are added; ``sized`` is read twice and should be a written table.
+    and ``taken`` are added. ``sized`` is read three times.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     rows = sums.agg(F.sum("rows").alias("n")).first()["n"] or 0  # one number
@@ -77,17 +82,14 @@ def mix(sized: DataFrame, *, demand: float = 1.5, most: float = 2.0, weights: Se
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")  # 60 bits
     bucket = F.floor(F.col("draw") / F.lit((1 << 60) // buckets)).cast("bigint")
-    placed = sized.select("doc_id", "source", "size", *carry, drawn.alias("draw")).withColumn("bucket", bucket)
-    per_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0)))
-    planned = planned.withColumnRenamed("source", "_source")
-    plan = per_bucket.join(planned, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "_source", F.col("bucket").alias("_bucket"), "ahead", "source_size", "place", "target"
-    )
-    within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.select("doc_id", "source", "size", *carry, drawn.alias("draw"), _group("source")).withColumn("bucket", bucket)
+    per_bucket = placed.groupBy("group", "bucket").agg(F.sum("size").alias("held"))
+    ahead = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0))).drop("held")
+    plan = per_bucket.join(planned.select("source_size", "place", "target", _group("source")), "group")
+    within = Window.partitionBy("group", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = summed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
+    joined = summed.join(plan, ["group", "bucket"])
     words = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     begin = F.col("ahead") + F.col("inside")
@@ -120,3 +122,9 @@ def curriculum(positioned: DataFrame) -> DataFrame:
     """One row per time a document is taken, range-sorted by position: the order of training."""
     taken = positioned.select("*", F.explode("turns").alias("_taken")).drop("turns")
     return taken.select("*", "_taken.*").drop("_taken").orderBy("position", "doc_id", "turn")
+
+
+def cut_text(text, words, size):
+    """The first ``words`` of a text of ``size`` words, with the space before each; the whole text if that is all."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    return F.when(words < size, F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(text)

@@ -75,16 +75,17 @@ def fingerprint(text: str, shingle: int, lanes: int) -> bytes:
     return np.packbits(2 * ones > total).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, bits: int = 64) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` (binary, highest bit first) of every row of ``docs(doc_id, text)``."""
-    key = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, carry: Sequence[str] = ("doc_id",), *, shingle: int = 3, bits: int = 64) -> DataFrame:
+    """The ``carry`` columns and ``fingerprint`` (binary, highest bit first) of the ``text`` of every row of ``docs``."""
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle, bits // 64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fingerprint"])
+            found = [fingerprint(t.as_py(), shingle, bits // 64) for t in batch.column(batch.num_columns - 1)]
+            columns = [*batch.columns[:-1], pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "fingerprint"])
 
-    return in_parts(docs.select("doc_id", text_or_empty()), run, f"doc_id {key}, fingerprint binary")
+    return in_parts(docs.select(*carry, text_or_empty().alias("_hashed")), run, f"{fields}, fingerprint binary")
 
 
 def _lanes(values: Sequence[bytes]) -> np.ndarray:
@@ -108,6 +109,7 @@ class Walk:
 
     def __init__(self, lanes: np.ndarray, keys: np.ndarray, budgets: Budgets) -> None:
         self.lanes, self.keys, self.budgets = lanes, keys, budgets
+        self.deepest = min(64, budgets[-2][0] if len(budgets) > 1 else 64)  # below it the whole budget alone decides
         self.labels = np.arange(len(keys))
 
     def _join(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -163,7 +165,7 @@ class Walk:
                 alo, ahi, blo, bhi, diff = (x[~small] for x in (alo, ahi, blo, bhi, diff))
             if not len(alo):
                 continue
-            if depth >= 64:
+            if depth >= self.deepest:
                 for k in range(len(alo)):
                     self._bucket(alo[k], ahi[k], blo[k], bhi[k])
                 continue
