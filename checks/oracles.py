@@ -36,9 +36,9 @@ def _day(c: str) -> str:
     return f"CASE WHEN length(CAST({c} AS VARCHAR)) = 8 THEN CAST(try_strptime(CAST({c} AS VARCHAR), '%Y%m%d') AS DATE) END"
 
 
-_EXPECTED = "sls_quantity * abs(sls_price)"
+_EXPECTED = "CAST(sls_quantity AS BIGINT) * abs(CAST(sls_price AS BIGINT))"
 _REPAIRED = (
-    f"CASE WHEN sls_sales IS NULL OR sls_sales <= 0 OR sls_sales <> {_EXPECTED} THEN {_EXPECTED} ELSE sls_sales END"
+    f"CASE WHEN sls_sales IS NULL OR sls_sales <= 0 OR sls_sales <> {_EXPECTED} THEN {_EXPECTED} ELSE CAST(sls_sales AS BIGINT) END"
 )
 
 
@@ -172,6 +172,11 @@ SELECT id, trim(cat) AS cat, trim(subcat) AS subcat, trim(maintenance) AS mainte
     ),
     "surrogate_key_distributed": """
 SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS order_number, o_orderkey, o_orderdate, o_orderpriority FROM orders""",
+    "surrogate_key_incremental": """
+WITH kept AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F')
+SELECT n AS order_number, o_orderkey, o_orderdate FROM kept
+UNION ALL SELECT (SELECT count(*) FROM kept) + row_number() OVER (ORDER BY o_orderdate, o_orderkey), o_orderkey, o_orderdate
+FROM orders WHERE o_orderstatus = 'F'""",
     "change_window": _extract(_IN_WINDOW).replace(
         "o.cst_gndr", "o.cst_gndr, o._created_at"
     ),

@@ -27,7 +27,7 @@ from tidemark.functions import (
 )
 from tidemark.operators import clean, star
 from tidemark.operators.changes import batch_end, distinct_rows, extract_changes, latest_per_key, snapshot_diff
-from tidemark.operators.keys import with_surrogate_key
+from tidemark.operators.keys import extend_surrogate_key, with_surrogate_key
 from tidemark.operators.merge import apply_changes
 from tidemark.operators.quality import profile, quality_report
 from tidemark.operators.staging import scratch_folder
@@ -130,6 +130,15 @@ def surrogate_key_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_surrogate_key(orders, "order_number", ["o_orderdate", "o_orderkey"])
 
 
+@query("surrogate_key_incremental")
+def surrogate_key_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that were there keep their numbers when the finished ones come in."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    before = orders.filter("o_orderstatus <> 'F'").drop("o_orderstatus")
+    given = with_surrogate_key(before, "order_number", ["o_orderdate", "o_orderkey"], unique=True)
+    return extend_surrogate_key(orders.drop("o_orderstatus"), given, "order_number", ["o_orderkey"], ["o_orderdate", "o_orderkey"])
+
+
 # --- changes ------------------------------------------------------------------
 
 

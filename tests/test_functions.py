@@ -114,7 +114,7 @@ AMOUNTS = [
     (None, None, None, None, None, None),
     (7, 0, None, 7, None, None),
     (0, 0, 3, 0, 3.0, 3.0),
-    (5, 2_000_000_000, 2, None, 2.0, 2.0),
+    (5, 2_000_000_000, 2, 4_000_000_000, 2.0, 2.0),
 ]
 
 
@@ -126,4 +126,4 @@ def test_amounts_and_prices(spark):
     assert apply(df, repaired) == [r[3] for r in AMOUNTS]
     assert apply(df, fn.unit_price(F.col("p"), repaired, F.col("q"))) == [r[4] for r in AMOUNTS]
     assert apply(df, fn.unit_price(F.col("p"), F.col("a"), F.col("q"))) == [r[5] for r in AMOUNTS]
-    assert df.select(repaired.alias("r")).dtypes == [("r", "int")]
+    assert df.select(repaired.alias("r")).dtypes == [("r", "bigint")]

@@ -17,6 +17,7 @@ from tidemark.sources.jdbc import (
     bounds_query,
     change_bounds_query,
     change_query,
+    hash_predicates,
     scan_table,
     split_options,
 )
@@ -162,10 +163,53 @@ def test_jdbc_reader_options_and_queries():
     text = change_query("log", "src", ["k", "v"], table_name="it's", key="k", after=None, until=datetime(2024, 1, 2))
     assert text == (
         "(SELECT l.log_id, l.operation_type, l.changed_at, o.k, o.v, l.id AS _logged_id FROM log l LEFT JOIN src o"
-        " ON l.id = CAST(o.k AS VARCHAR(50)) WHERE l.table_name = 'it''s' AND l.changed_at <= TIMESTAMP '2024-01-02 00:00:00') changes"
+        " ON o.k = CASE WHEN LENGTH(l.id) BETWEEN 1 AND 18 AND (TRANSLATE(l.id, '0123456789', '') = ''"
+        " OR (TRANSLATE(l.id, '0123456789', '') = '-' AND l.id LIKE '-_%')) THEN CAST(l.id AS BIGINT) END"
+        " WHERE l.table_name = 'it''s' AND l.changed_at <= TIMESTAMP '2024-01-02 00:00:00') changes"
     )
 
 
+def test_pushed_changes_match_on_the_bare_key(spark, rows):
+    long_key = "k" * 60
+    log = spark.createDataFrame(
+        [(1, "UPDATE", "t", i) for i in (long_key, "7", "-7", "seven", "7-", "", "9" * 30)], "log_id int, operation_type string, table_name string, id string"
+    ).withColumn("changed_at", F.lit("2024-01-01").cast("timestamp"))
+    texts = spark.createDataFrame([(long_key, "long"), ("7", "text")], "k string, v string")
+    numbers = spark.createDataFrame([(7, "plus"), (-7, "minus")], "k int, v string")
+    for source, text_key, expected in ((texts, True, {long_key: "long", "7": "text"}), (numbers, False, {"7": "plus", "-7": "minus"})):
+        question = change_query("{log}", "{src}", ["v"], table_name="t", key="k", after=None, until=None, text_key=text_key)
+        assert "CAST(o." not in question
+        found = spark.sql(f"SELECT * FROM {question}", log=log, src=source)
+        assert {r["_logged_id"]: r["v"] for r in found.collect() if r["v"]} == expected
+        assert found.count() == 7
+
+
+def test_every_table_has_a_split(spark):
+    for spec in TABLES:
+        if spec.split_column is None:
+            conditions = hash_predicates("hash({column})", spec.key[0], 8)
+            assert len(conditions) == 8 and conditions[0].startswith(f"{spec.key[0]} IS NULL OR")
+            keys = spark.createDataFrame([(f"k{n}",) for n in range(200)] + [(None,)], f"{spec.key[0]} string")
+            assert sum(keys.filter(c).count() for c in conditions) == 201
+        else:
+            assert spec.columns[spec.split_column].dataType.typeName() == "integer"
+
+
+class NoSharedFolder:
+    """A session that names no checkpoint folder."""
+
+    class conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class sparkContext:
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_scratch_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="share"):
+        scratch_folder(NoSharedFolder)
+
+
 class RecordingReader:
     """Stands in for the session's reader: notes what a scan asks for, answers bounds 1 and 9."""
 

@@ -9,8 +9,10 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from tidemark.functions import recover_key, timestamp_literal
+from tidemark.functions import timestamp_literal
+from tidemark.operators.staging import staged
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
 
@@ -33,6 +35,20 @@ def batch_end(log: DataFrame, table_name: str, fallback: datetime | str | None =
     return log.filter(F.col("table_name") == table_name).agg(last.alias("batch_end"))
 
 
+def logged_changes(
+    log: DataFrame, table_name: str, key_type: DataType, after: datetime | str | None, until: datetime | str | None
+) -> DataFrame:
+    """Log rows of one table and window, with the logged id in the type of the key; NULL where it has no such form."""
+    return in_window(log.filter(F.col("table_name") == table_name), "changed_at", after, until).select(
+        "log_id", "operation_type", "changed_at", F.col("id").try_cast(key_type).alias("_logged_key")
+    )
+
+
+def rows_of_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Source rows whose key is among ``keys``, compared as it is stored, so that filters reach its scan."""
+    return source.join(keys, source[key] == keys[key], "left_semi")
+
+
 def extract_changes(
     log: DataFrame,
     source: DataFrame,
@@ -41,26 +57,21 @@ def extract_changes(
     key: str,
     after: datetime | str | None = None,
     until: datetime | str | None = None,
-    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Logged changes of one table in ``(after, until]`` with the current source row.
 
     A deleted row has NULL in every source column but its key, which is taken from
-    the log. The changes are counted first. Up to ``broadcast_rows`` of them, their
-    ids are broadcast to cut the source down to the changed rows where it is
-    scanned, and the large table is never shuffled. Beyond that both sides are
-    shuffled by id, where adaptive execution splits an id with most of the changes.
+    the log. The window's changes are written once, their ids in the type of the key: so
+    the log is read once, and the planner and adaptive execution know from the true size
+    whether the ids are broadcast to cut the source down where it is scanned. The changed
+    source rows are written too, and join the changes by their own true size: broadcast, or
+    shuffled by key, where an id with most of the changes is split.
     """
-    logged = in_window(log.filter(F.col("table_name") == table_name), "changed_at", after, until).select(
-        "log_id", "operation_type", "changed_at", F.col("id").cast("string").alias("_logged_id")
-    )
-    keyed = source.withColumn("_source_id", F.col(key).cast("string"))
-    matches = F.col("_logged_id") == F.col("_source_id")
-    if logged.count() <= broadcast_rows:
-        keyed = keyed.join(F.broadcast(logged.select("_logged_id").distinct()), matches, "left_semi")
-    recovered = recover_key(F.col(key), F.col("_logged_id"), source.schema[key].dataType).alias(key)
-    return logged.join(keyed, matches, "left").select(
-        "log_id", "operation_type", "changed_at", *[recovered if c == key else F.col(c) for c in source.columns]
+    logged = staged(logged_changes(log, table_name, source.schema[key].dataType, after, until))
+    changed = staged(rows_of_keys(source, logged.select(F.col("_logged_key").alias(key)).distinct(), key))
+    recovered = F.coalesce(changed[key], logged["_logged_key"]).alias(key)
+    return logged.join(changed, logged["_logged_key"] == changed[key], "left").select(
+        "log_id", "operation_type", "changed_at", *[recovered if c == key else changed[c] for c in source.columns]
     )
 
 

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder.
-
-    Without that setting (a test on one machine) a local temporary folder serves.
-    """
+    """A new folder below the session's shared checkpoint folder, which every executor must see."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(shared or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 @dataclass(frozen=True)
 class JdbcDatabase:
-    """Where a database is and how it spells a text type."""
+    """Where a database is, and how it hashes a text column to a whole number."""
 
     url: str
     properties: Mapping[str, str] = field(default_factory=dict)
-    text_type: str = "VARCHAR(50)"
+    text_hash: str = "HASHTEXT({column})"
 
 
 def split_options(column: str, lower: object, upper: object, parts: int) -> dict[str, str]:
@@ -26,6 +26,12 @@ def split_options(column: str, lower: object, upper: object, parts: int) -> dict
     return {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(parts)}
 
 
+def hash_predicates(hashed: str, column: str, parts: int) -> list[str]:
+    """One condition per task; together they cover every row once, rows without a value in the first."""
+    share = f"ABS(MOD({hashed.format(column=column)}, {parts}))"
+    return [f"{column} IS NULL OR {share} = {k}" if k == 0 else f"{column} IS NOT NULL AND {share} = {k}" for k in range(parts)]
+
+
 def bounds_query(table: str, column: str) -> str:
     return f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) bounds"
 
@@ -61,16 +67,22 @@ def change_query(
     key: str,
     after: datetime | str | None,
     until: datetime | str | None,
-    text_type: str = "VARCHAR(50)",
+    text_key: bool = False,
 ) -> str:
     """The change extraction of ``operators.changes`` as one sub-query for the database to run.
 
-    The logged id comes back as ``_logged_id``, with which the key is recovered.
+    The logged id, a text, is turned into the type of the key and compared with the bare
+    key column, so that an index on the key serves the join. A whole-number key takes only
+    ids that are whole numbers of up to 18 digits, as no key has more. The logged id comes
+    back as ``_logged_id``, with which the key is recovered.
     """
+    signs = "TRANSLATE(l.id, '0123456789', '')"
+    whole = f"LENGTH(l.id) BETWEEN 1 AND 18 AND ({signs} = '' OR ({signs} = '-' AND l.id LIKE '-_%'))"
+    logged = "l.id" if text_key else f"CASE WHEN {whole} THEN CAST(l.id AS BIGINT) END"
     picked = ", ".join(["l.log_id", "l.operation_type", "l.changed_at", *[f"o.{c}" for c in columns]])
     return (
         f"(SELECT {picked}, l.id AS _logged_id FROM {log} l LEFT JOIN {source} o"
-        f" ON l.id = CAST(o.{key} AS {text_type}) WHERE {_logged(table_name, after, until)}) changes"
+        f" ON o.{key} = {logged} WHERE {_logged(table_name, after, until)}) changes"
     )
 
 
