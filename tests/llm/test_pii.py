@@ -1,0 +1,81 @@
+import hashlib
+import re
+
+import pytest
+from texts import documents, frame
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import pii
+
+PLAIN = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+)
+
+
+def sound(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        total = sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(digits)))
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+def plain_spans(text):
+    return [(m.start(), k, m.end(), n) for k, (n, p) in enumerate(PLAIN) for m in p.finditer(text or "") if sound(n, m[0])]
+
+
+HARD = [
+    "a@b.c.d@e.f x@y.z_q@r.s 1.2.3.4.5.6.7.8 001.2.3.255 256.1.1.1 0000000000000000000001.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1111 41111111111111111111 4111  1111 1111 1111 5 4111 1111 1111 1111",
+    "+1 (234) 567-8901\u0001 a\u0001b@c.dé +49.123.4567890 +++1 2 3 4 5 6 7 8 9 0 1) +1234567890123456",
+    "9" * 50_000,
+    "a" * 50_000 + "@",
+    "1 " * 20_000 + "a@b.cc",
+    "日本 a@b.cc 😀 1.1.1.1",
+]
+
+
+def test_strict_matches_are_those_of_the_plain_patterns(spark):
+    rows = documents() + [(1000 + k, t, None, None, 0) for k, t in enumerate(HARD)]
+    found = {r["doc_id"]: r for r in pii.summary(pii.find(frame(spark, rows))).collect()}
+    for doc_id, text, *_ in rows:
+        spans = sorted(plain_spans(text))
+        listed = ",".join(f"{n}:{a}:{b}" for a, _, b, n in spans)
+        row = found[doc_id]
+        assert row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), doc_id
+        assert [row[f"n_{n}"] for n, _ in PLAIN] == [sum(s[3] == n for s in spans) for n, _ in PLAIN]
+        assert set(filter(None, listed.split(","))) <= set(row["spans"].split(","))
+
+
+def test_equal_rows_come_out_once_each(spark):
+    assert pii.find(frame(spark)).count() == len(documents())
+    assert pii.find(frame(spark, [])).count() == 0
+
+
+def test_trees_add_other_ways_of_writing_and_leave_plain_numbers(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    more = [(-1, "tel (415) 555-1234 or so"), (-2, "order 1234567 of 2020 in 31415926 parts"), (-3, "count 12, then 2024-01-02, 3.14 and 17")]
+    both = docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    found = {r["doc_id"]: r["spans"] for r in pii.summary(pii.find(both)).filter("doc_id < 0").collect()}
+    assert found[-1].startswith("phone:")
+    assert found[-2] == "" and found[-3] == ""
+
+
+@pytest.mark.parametrize(
+    ("spans", "expected"),
+    [([], "abcdef"), ([("ip", 1, 3)], "a<IP>def"), ([("ip", 0, 2), ("card", 1, 4), ("phone", 5, 6)], "<IP>e<PHONE>"), ([("email", 0, 6)], "<EMAIL>")],
+)
+def test_redaction(spark, spans, expected):
+    df = spark.createDataFrame([("abcdef", spans)], "text string, spans array<struct<kind:string,start:int,end:int>>")
+    assert df.select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).first()["t"] == expected
+
+
+def test_no_python_in_the_plan(spark):
+    plan = pii.summary(pii.find(frame(spark).repartition(2)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan.replace("arrow", "")

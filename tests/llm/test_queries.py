@@ -1,0 +1,22 @@
+"""Registered queries against their SQL, and the same rows from any run."""
+
+import pytest
+
+from checks.compare import difference, duck
+from tidemark.llm.queries import ORACLES, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return duck(SF_DIR)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_agrees_with_its_sql(spark, connection, name):
+    assert difference(QUERIES[name](spark, SF_DIR), connection, ORACLES[name]) is None
+
+
+def test_ten_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
