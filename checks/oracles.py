@@ -36,10 +36,14 @@ def _day(c: str) -> str:
     return f"CASE WHEN length(CAST({c} AS VARCHAR)) = 8 THEN CAST(try_strptime(CAST({c} AS VARCHAR), '%Y%m%d') AS DATE) END"
 
 
+def _repaired(expected: str) -> str:
+    return f"CASE WHEN sls_sales IS NULL OR sls_sales <= 0 OR sls_sales <> {expected} THEN {expected} ELSE CAST(sls_sales AS BIGINT) END"
+
+
 _EXPECTED = "CAST(sls_quantity AS BIGINT) * abs(CAST(sls_price AS BIGINT))"
-_REPAIRED = (
-    f"CASE WHEN sls_sales IS NULL OR sls_sales <= 0 OR sls_sales <> {_EXPECTED} THEN {_EXPECTED} ELSE CAST(sls_sales AS BIGINT) END"
-)
+_REPAIRED = _repaired(_EXPECTED)
+# Cleaned sales have prices with fractions.
+_REPAIRED_ON_CLEAN = _repaired("sls_quantity * abs(sls_price)")
 
 
 def _clean_customers(source: str) -> str:
@@ -91,10 +95,10 @@ SELECT row_number() OVER (ORDER BY prd_id) AS product_key, prd_id AS product_id,
 FROM {products} p LEFT JOIN ({{clean_erp_categories}}) k ON {head} = k.id WHERE p.prd_end_dt IS NULL"""
 
 
-def _fact(sales: str, day, products: str, customers: str) -> str:
+def _fact(sales: str, day, products: str, customers: str, amount: str = _REPAIRED) -> str:
     return f"""
 SELECT sls_ord_num AS order_number, product_key, customer_key, {day("sls_order_dt")} AS order_date,
-       {day("sls_ship_dt")} AS shipping_date, {day("sls_due_dt")} AS due_date, {_REPAIRED} AS sales_amount, sls_quantity AS quantity,
+       {day("sls_ship_dt")} AS shipping_date, {day("sls_due_dt")} AS due_date, {amount} AS sales_amount, sls_quantity AS quantity,
        CASE WHEN sls_price IS NULL OR sls_price <= 0 THEN CAST(sls_sales AS DOUBLE) / nullif(sls_quantity, 0)
             ELSE CAST(sls_price AS DOUBLE) END AS price
 FROM {sales} s LEFT JOIN {products} p ON s.sls_prd_key = p.product_number LEFT JOIN {customers} c ON s.sls_cust_id = c.customer_id"""
@@ -168,7 +172,7 @@ SELECT id, trim(cat) AS cat, trim(subcat) AS subcat, trim(maintenance) AS mainte
     "dim_products_on_clean": _dim_products("({clean_crm_products})", "p.cat_id", "p.prd_key"),
     "fact_sales": _fact("({crm_sales})", _day, "({dim_products})", "({dim_customers})"),
     "fact_sales_on_clean": _fact(
-        "({clean_crm_sales})", lambda c: c, "({dim_products_on_clean})", "({dim_customers})"
+        "({clean_crm_sales})", lambda c: c, "({dim_products_on_clean})", "({dim_customers})", _REPAIRED_ON_CLEAN
     ),
     "surrogate_key_distributed": """
 SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS order_number, o_orderkey, o_orderdate, o_orderpriority FROM orders""",
@@ -258,6 +262,7 @@ QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY load_date DESC) = 1"""
         lambda c: c,
         "(" + _dim_products(f"({_clean_products('({products_after})')})", "p.cat_id", "p.prd_key") + ")",
         "(" + _dim_customers(f"({_clean_customers('({customers_after})')})") + ")",
+        _REPAIRED_ON_CLEAN,
     )
     + ") f LEFT JOIN ("
     + _dim_customers(f"({_clean_customers('({customers_after})')})")

@@ -3,16 +3,43 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noting_scratch() -> Iterator[list[str]]:
+    """The scratch folders that are taken within, so that their owner can release them."""
+    folders: list[str] = []
+    before = _noted.set(folders)
+    try:
+        yield folders
+    finally:
+        _noted.reset(before)
+
+
+def release(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Remove scratch folders that nothing will read again."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the session's shared checkpoint folder, which every executor must see."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    folder = f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(folder)
+    return folder
 
 
 def staged(df: DataFrame) -> DataFrame:
