@@ -253,6 +253,10 @@ WITH counted AS (SELECT count(*) FILTER (sls_ord_num IS NULL) AS a, count(*) FIL
 SELECT 'sls_ord_num' AS column_name, 'not_null' AS check_name, a AS violations FROM counted
 UNION ALL SELECT 'sls_sales', 'not_null', b FROM counted UNION ALL SELECT 'sls_price', 'not_null', c FROM counted
 UNION ALL SELECT 'sls_sales', 'not_negative', d FROM counted UNION ALL SELECT 'sls_price', 'not_negative', e FROM counted""",
+    "snapshot_profile_written": """
+SELECT 'CRM' AS source, 'sales' AS "table", 'snapshot' AS extract_type, '2024-06-30' AS load_date, count(*) AS row_count, CAST(9 AS BIGINT) AS column_count,
+       'struct<sls_ord_num:string,sls_prd_key:string,sls_cust_id:int,sls_order_dt:int,sls_ship_dt:int,sls_due_dt:int,sls_sales:int,sls_quantity:int,sls_price:int>' AS schema
+FROM ({crm_sales})""",
     "snapshot_latest_load": """
 SELECT order_id, status, load_date FROM ({order_snapshots})
 QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY load_date DESC) = 1""",

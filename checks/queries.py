@@ -369,6 +369,15 @@ def snapshot_latest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_snapshot_rows(read_snapshots(spark, root), ["order_id"])
 
 
+@query("snapshot_profile_written")
+def snapshot_profile_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile that is written beside a snapshot, read back."""
+    root = scratch_folder(spark)
+    write_snapshot(load(spark, sf_dir, "crm_sales"), root, source="CRM", table="sales", load_date="2024-06-30")
+    profiles = spark.read.json(f"{root}/load_date=2024-06-30/metadata")
+    return profiles.select("source", "table", "extract_type", F.col("load_date").cast("string").alias("load_date"), "row_count", "column_count", "schema")
+
+
 @query("stream_merge")
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strict merge as a stream over change files, all of them in one batch."""

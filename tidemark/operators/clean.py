@@ -40,8 +40,12 @@ def trimmed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def clean_crm_customers(df: DataFrame, *, newest_by: Sequence[str] = ("_created_at",)) -> DataFrame:
-    """Newest row per customer with trimmed names and spelled-out codes; unknown codes stay as they are."""
-    newest = latest_per_key(df.filter(F.col("cst_id").isNotNull()), ["cst_id"], newest_by)
+    """Newest row per customer with trimmed names and spelled-out codes; unknown codes stay as they are.
+
+    Rows of one time are ordered by their other columns, so that any run keeps the same one.
+    """
+    order = [*newest_by, *[c for c in df.columns if c not in (*newest_by, "cst_id")]]
+    newest = latest_per_key(df.filter(F.col("cst_id").isNotNull()), ["cst_id"], order)
     return trimmed(newest, ["cst_key", "cst_firstname", "cst_lastname"]).withColumns(
         {
             name: code_label(F.col(name), labels, default=None, short_codes_only=True)
