@@ -48,9 +48,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    shares = labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    counts = labelled.groupBy("lang").count().collect()  # one number per language; the model holds the languages too
+    if not counts:
+        return labelled.select("lang", "text")
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    return labelled.join(shares, "lang").filter(drawn < F.col("share")).select("lang", "text")
+    return labelled.filter(drawn < F.element_at(shares, F.col("lang"))).select("lang", "text")
 
 
 def _parts(text: Column, n: int) -> Column:
@@ -89,6 +92,7 @@ def learn(docs: DataFrame, *, per_language: int = 800, least: int = 3) -> Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
+        self.longest_first = [(n, model.grams[n].get) for n in range(N, 0, -1)] if model.languages else []
         self._clear()
 
     def _clear(self) -> None:
@@ -100,13 +104,16 @@ class Scorer:
         if known is not None:
             return known
         padded, found = f"^{word}$", []
-        for at in range(len(padded)):
-            for n in range(min(N, len(padded) - at), 0, -1):
-                values = self.model.grams[n].get(padded[at : at + n])
+        end = len(padded)
+        for at in range(end):
+            for n, known_of in self.longest_first:
+                values = known_of(padded[at : at + n]) if at + n <= end else None
                 if values is not None:
                     found.append(values)
                     break
-        return np.mean(found, axis=0) if found else np.zeros(len(self.model.languages))
+        if not found:
+            return [0.0] * len(self.model.languages)
+        return [sum(column) / len(found) for column in zip(*found, strict=True)]
 
     def _row(self, word: str) -> int:
         at = len(self.row_of) + 1
