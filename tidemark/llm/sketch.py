@@ -85,8 +85,11 @@ def _range_of(doc_id: Column, bounds: list) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
-    """``rows(doc_id, content, ...)`` with ``next_<name>`` of the next document for every column in ``carry``."""
+def with_next(rows: DataFrame, carry: list[str], derive=lambda rows: rows) -> DataFrame:
+    """``rows(doc_id, content, ...)`` with ``next_<name>`` of the next document for every column in ``carry``.
+
+    ``derive`` adds columns to rows once they are in place.
+    """
     bounds = _bounds(rows.select("doc_id"))
     placed = rows.withColumn("_range", _range_of(F.col("doc_id"), bounds))
     firsts = placed.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "content")).alias("least"))
@@ -97,7 +100,7 @@ def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
     same = placed["doc_id"].eqNullSafe(F.col("_id")) & (placed["content"] == F.col("_content"))
     added = placed.join(F.broadcast(around), same).dropDuplicates(["_goes_to"])  # one row per range: at most MOST_RANGES
     added = added.withColumn("_range", F.col("_goes_to").cast("int")).select(*placed.columns, F.lit(True).alias("_added"))
-    together = placed.withColumn("_added", F.lit(False)).unionByName(added)
+    together = derive(placed.withColumn("_added", F.lit(False)).unionByName(added))
     following = Window.partitionBy("_range").orderBy("_added", F.col("doc_id").asc_nulls_first(), "content")
     out = together.withColumns({f"next_{c}": F.lead(c).over(following) for c in carry})
     return out.filter(~F.col("_added")).drop("_added", "_range")
@@ -110,7 +113,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     text = text_or_empty()
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("content"))
-    rows = with_next(with_sketch(rows, "text", "sketch"), ["text", "sketch"])
+    rows = with_next(rows, ["text", "sketch"], lambda placed: with_sketch(placed, "text", "sketch"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
