@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.staging import scratch_folder
+
 # Fixed value: a word is a run of anything but these six space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,6 +40,13 @@ def map_batches(rows: DataFrame, function, schema: str) -> DataFrame:
     return rows.mapInArrow(function, schema)
 
 
+def compact(rows: DataFrame) -> DataFrame:
+    """``rows`` written once to the shared scratch folder, tightly compressed, and read back."""
+    folder = scratch_folder(rows.sparkSession)
+    rows.write.option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def in_parts(docs: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over record batches cut to at most ``_ROWS`` rows, so that few long texts are Python objects at once."""
 

@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import compact, text_or_empty
 from tidemark.operators.staging import staged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -168,18 +168,23 @@ def _rewritten(positive: DataFrame) -> DataFrame:
 
 
 def _examples(proposals: DataFrame) -> DataFrame:
-    """Labelled proposals; every fifth text tells what the thresholds are."""
-    labelled = proposals.withColumn("label", F.col("strict").cast("double"))
+    """Labelled proposals; every fifth text tells what the thresholds are.
+
+    A part of a strict match is neither right nor wrong, and what fails the checks after a cue word may be right.
+    """
+    labelled = proposals.filter("NOT part").withColumn("label", F.col("strict").cast("double"))
     more = _rewritten(labelled.filter("strict")).select(*labelled.columns)
-    return _features(labelled.unionByName(more)).withColumn("held", F.pmod("content", F.lit(5)) == 0)
+    examples = _features(labelled.unionByName(more)).filter("label = 1 OR cue = 0")
+    return examples.withColumn("held", F.pmod("content", F.lit(5)) == 0)
 
 
 def _proposals(scanned: DataFrame) -> DataFrame:
     """One row per proposal: whether a strict match of its kind is the very same span, and whether it touches any."""
     rows = scanned.select("doc_id", "content", "base", F.explode("proposed").alias("span"))
     same = F.exists("base", lambda b: (b["kind"] == F.col("span.kind")) & (b["start"] == F.col("span.start")) & (b["end"] == F.col("span.end")))
-    touches = F.exists("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"]))
-    return rows.select("doc_id", "content", "span.*", same.alias("strict"), touches.alias("touches"))
+    touching = F.filter("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"]))
+    part = F.exists(touching, lambda b: b["kind"] == F.col("span.kind")) & ~same
+    return rows.select("doc_id", "content", "span.*", same.alias("strict"), (F.size(touching) > 0).alias("touches"), part.alias("part"))
 
 
 def _certain(scored: DataFrame) -> Column:
@@ -208,7 +213,7 @@ def added_spans(scanned: DataFrame, learned) -> DataFrame:
     """``doc_id, content, added``: proposals that pass their threshold and touch no strict match."""
     proposals = _proposals(scanned).filter("NOT touches")
     if learned is None:
-        return proposals.limit(0).groupBy("doc_id", "content").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+        return proposals.filter(F.lit(False)).groupBy("doc_id", "content").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     model, thresholds = learned
     features = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_features(proposals))
     scored = model.transform(features)
@@ -232,7 +237,7 @@ def _text(spans: Column) -> Column:
 
 def find(docs: DataFrame, carry: Sequence[str] = (), *, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, carried columns, ``base`` and ``spans`` (all kept spans, in order) of every row of ``docs``."""
-    scanned = staged(scan(docs, carry))
+    scanned = compact(scan(docs, carry))
     learned = learn(_proposals(scanned), texts=scanned.count(), sample=sample)
     added = added_spans(scanned, learned).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
