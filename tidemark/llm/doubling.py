@@ -9,18 +9,18 @@ its anchor's string does, and all windows that share an anchor are settled toget
 
 From there on it is prefix doubling: anchors are ranked by the hash of a string around
 them and the length of that string grows towards ``SPAN`` as the interval of windows that
-share it is halved from round to round. Per round and interval of windows
+share it is cut to parts from round to round. Per round and interval of windows
 
 - a string common to all its windows that no other anchor has: none of them repeats;
 - the string of all its windows together occurs twice: all of them repeat;
-- else both halves of the interval go on to the next round.
+- else the parts of the interval go on to the next round.
 
 Anchors that are alike go on as one. Ranking is by aggregates and joins on hashes, so a
 string found in a third of all texts is counted before it is shuffled. Texts are joined
 twice in compressed form: once to cut out the strings around open anchors, once to take
 out what is removed.
 
-Rows are told apart by id and content: rows that agree in both are copies of each other.
+Rows are told apart by id and a digest of their content: rows that agree in both are copies of each other.
 A NULL text is empty, texts shorter than ``SPAN`` bytes are kept as they are; a NULL id is
 an id. Extra columns are left out, an empty table gives an empty result.
 """
@@ -36,11 +36,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_parts, map_batches, text_or_empty
-from tidemark.operators.staging import staged
+from tidemark.llm.common import compact, in_parts, map_batches, text_or_empty
 
-SPAN, CORE = 200, 50
+SPAN, CORE = 200, 32
 REACH = SPAN - CORE  # an anchor lies at most so far behind the start of its window
+SIZES = (64, 8, 1)  # windows of an interval, from round to round
 BLOCK = 1 << 20  # windows that are hashed at once
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 21) - 1)
@@ -89,47 +89,49 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         yield first + begin, last + begin, place + begin, core.view(np.int64), whole.view(np.int64)
 
 
-_ID = ["doc_id", "content"]
+_ID = ["doc", "content"]
 
 
 def _anchor_table(docs: DataFrame) -> DataFrame:
+    """Anchors of all rows ``(doc, content, text)``; ``windows`` packs first start, number of starts less one, and place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*_ID, "first", "last", "place", "core", "whole"]
         for batch in batches:
             rows, parts = [], []
             for k, text in enumerate(batch.column(2)):
                 data = text.as_py().encode()
-                for part in anchors(data) if len(data) >= SPAN else ():
-                    rows.append(np.full(len(part[0]), k))
-                    parts.append(part)
+                for first, last, place, core, whole in anchors(data) if len(data) >= SPAN else ():
+                    rows.append(np.full(len(first), k))
+                    parts.append((first << 16 | (last - first) << 8 | (place - first), core, whole))
             if parts:
                 of = pa.array(np.concatenate(rows))
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], [*_ID, "windows", "core", "whole"])
+
+    return in_parts(docs, run, "doc bigint, content int, windows bigint, core bigint, whole bigint")
 
-    return in_parts(docs, run, "doc_id bigint, content bigint, first bigint, last bigint, place bigint, core bigint, whole bigint")
+
+def _unpacked() -> list[Column]:
+    """``first``, ``last`` and ``place`` of packed windows."""
+    first = F.shiftright("windows", 16)
+    last = first + F.shiftright("windows", 8).bitwiseAND(F.lit(255))
+    return [first.alias("first"), last.alias("last"), (first + F.col("windows").bitwiseAND(F.lit(255))).alias("place")]
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = [packer.compress(t.as_py().encode()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], [*_ID, "packed"])
-
-    return in_parts(docs, run, "doc_id bigint, content bigint, packed binary")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary()), *batch.columns[3:]], [*_ID, "packed", *batch.schema.names[3:]])
 
-
-def _same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["content"] == right["content"])
+    return in_parts(docs, run, "doc bigint, content int, packed binary" + (", known boolean" if "known" in docs.columns else ""))
 
 
 def _cut_out(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``around``: the bytes of all windows of their anchor."""
-    fields = ["first", "last", "place", "stands"]
-    wanted = rows.groupBy(*_ID).agg(F.collect_list(F.struct(*fields)).alias("wanted"))
-    texts = _compressed(docs)
-    joined = texts.join(wanted, _same_row(texts, wanted)).select(texts["doc_id"], texts["content"], "packed", "wanted")
+    """``rows(doc, content, windows, stands)`` with ``around``: the bytes of all windows of their anchor."""
+    wanted = rows.groupBy(*_ID).agg(F.collect_list(F.struct("windows", "stands")).alias("wanted"))
+    joined = _compressed(docs).join(wanted, _ID).dropDuplicates(_ID)  # copies of a row give the same bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -137,17 +139,18 @@ def _cut_out(docs: DataFrame, rows: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 data = unpacker.decompress(batch.column(2)[k].as_py())
                 asked = batch.column(3)[k].as_py()
-                around = [data[x["first"] : x["last"] + SPAN] for x in asked]
+                starts = [(x["windows"] >> 16, x["windows"] >> 8 & 255) for x in asked]
+                around = [data[first : first + more + SPAN] for first, more in starts]
                 of = pa.array([k] * len(asked))
-                columns = [pa.array([x[f] for x in asked], pa.bool_() if f == "stands" else pa.int64()) for f in fields]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns, pa.array(around, pa.binary())], [*_ID, *fields, "around"])
+                columns = [pa.array([x["windows"] for x in asked], pa.int64()), pa.array([x["stands"] for x in asked], pa.bool_()), pa.array(around, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], [*_ID, "windows", "stands", "around"])
 
-    schema = "doc_id bigint, content bigint, first bigint, last bigint, place bigint, stands boolean, around binary"
-    return map_batches(joined, run, schema).dropDuplicates([*_ID, "first", "place"])
+    schema = "doc bigint, content int, windows bigint, stands boolean, around binary"
+    return map_batches(joined, run, schema)
 
 
 def _ranked(rows: DataFrame, size: int) -> DataFrame:
-    """Ranks of every interval of ``size`` windows, counted by how far their anchor lies behind their start.
+    """Ranks of intervals of ``size`` windows, which are counted by how far the anchor lies behind their start.
 
     ``common`` ranks the string that all windows of the whole interval share, ``joint`` the
     string of the anchor's own windows in it together.
@@ -161,43 +164,41 @@ def _ranked(rows: DataFrame, size: int) -> DataFrame:
     place = F.col("place")
     common = F.xxhash64(F.lit(size), F.col("begin"), cut(place - F.col("begin"), place - F.col("begin") - (size - 1) + SPAN))
     joint = F.xxhash64(F.lit(-size), least, most, cut(place - most, place - least + SPAN))
-    return rows.withColumns({"common": common, "joint": joint, "from": place - most, "to": place - least + SPAN})
-
-
-def _halves(rows: DataFrame, size: int) -> DataFrame:
-    """The intervals of ``size`` that rows go on with."""
-    low, high = F.col("place") - F.col("last"), F.col("place") - F.col("first")
-    halves = rows.withColumn("begin", F.explode(F.array(F.col("begin"), F.col("begin") + size)))
-    return halves.filter((F.col("begin") <= high) & (F.col("begin") + (size - 1) >= low))
+    span = [(place - most).alias("from"), (place - least + SPAN).alias("to")]
+    return rows.select("at", *_ID, "begin", "stands", common.alias("common"), joint.alias("joint"), *span)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Spans ``(doc_id, content, from, to)`` that cover all repeated strings; ``docs(doc_id, content, text)``."""
-    found = staged(_anchor_table(docs))
-    counted = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") == F.max("whole")).alias("alike"))
-    open_ = staged(found.join(counted.filter("n > 1").select("core", "alike"), "core"))
-    span = [*_ID, F.col("first").alias("from"), (F.col("last") + SPAN).alias("to")]
-    spans = [open_.filter("alike").select(*span)]
-    mixed = open_.filter("NOT alike")
-    kinds = mixed.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_ID, "first", "last", "place")).alias("one"))
-    kinds = staged(kinds)
-    spans.append(mixed.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select(*span))
-    size = 1 << REACH.bit_length()
-    rows = _cut_out(docs, kinds.select("one.*", (F.col("n") > 1).alias("stands"))).withColumn("begin", F.lit(0).cast("bigint"))
-    while size > 1:
-        size //= 2
-        rows = staged(_halves(rows, size))
-        if rows.isEmpty():
-            break
-        ranked = _ranked(rows, size)
-        kept = [*_ID, "first", "last", "place", "begin", "around"]
-        kinds = ranked.groupBy("common", "joint").agg(F.count(F.lit(1)).alias("n"), F.max("stands").alias("stands"), F.min(F.struct(*kept)).alias("one"))
-        kinds = staged(kinds)
-        spans.append(
-            ranked.filter("NOT stands").join(kinds.filter("n > 1").select("common", "joint"), ["common", "joint"], "left_semi").select(*_ID, "from", "to")
-        )
+    """Spans ``(doc, content, from, to)`` that cover all repeated strings of rows ``(doc, content, text)``."""
+    several = _anchor_table(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    found = compact(_anchor_table(docs).join(several, "core", "left_semi"))
+    kinds = found.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_ID, "windows")).alias("one"))
+    kinds = compact(kinds)
+    whole = found.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select(*_ID, *_unpacked())
+    spans = [whole.select(*_ID, F.col("first").alias("from"), (F.col("last") + SPAN).alias("to"))]
+    mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core")
+    rest = kinds.join(mixed, "core", "left_semi").select("one.*", (F.col("n") > 1).alias("stands"))
+    cut = _cut_out(docs, rest).select(F.monotonically_increasing_id().alias("at"), *_ID, "stands", "around", *_unpacked())
+    cut = compact(cut)
+    open_, last_size = cut.select("at", "stands", F.lit(0).cast("bigint").alias("begin")), 1 << REACH.bit_length()
+    for size in SIZES:
+        halves = F.explode(F.sequence(F.col("begin"), F.col("begin") + (last_size - size), F.lit(size).cast("bigint"))).alias("begin")
+        parts = open_.select("at", "stands", halves)
+        strings = cut.drop("stands")
+        low, high = F.col("place") - F.col("last"), F.col("place") - F.col("first")
+        if size == SIZES[0]:
+            parts = cut.withColumn("begin", F.lit(0).cast("bigint")).select("stands", *strings.columns, halves)
+        else:
+            parts = parts.groupBy("at").agg(F.collect_list(F.struct("begin", "stands")).alias("parts"))
+            parts = strings.join(parts, "at").select(*strings.columns, F.explode("parts").alias("part")).select(*strings.columns, "part.*")
+        ranked = compact(_ranked(parts.filter((F.col("begin") <= high) & (F.col("begin") + (size - 1) >= low)), size))
+        kinds = ranked.groupBy("common", "joint").agg(F.count(F.lit(1)).alias("n"), F.max("stands").alias("stands"), F.min(F.struct("at", "begin")).alias("one"))
+        kinds = compact(kinds)
+        twice = kinds.filter("n > 1").select("common", "joint")
+        spans.append(ranked.filter("NOT stands").join(twice, ["common", "joint"], "left_semi").select(*_ID, "from", "to"))
         several = kinds.groupBy("common").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("common")
-        rows = kinds.join(several, "common", "left_semi").select("one.*", (F.col("stands") | (F.col("n") > 1)).alias("stands"))
+        open_ = kinds.join(several, "common", "left_semi").select("one.*", (F.col("stands") | (F.col("n") > 1)).alias("stands"))
+        last_size = size
     covered = spans[0]
     for more in spans[1:]:
         covered = covered.union(more)
@@ -207,10 +208,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes) digests of every row of ``docs(doc_id, text)``."""
     text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    covered = repeated(rows).groupBy(*_ID).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    texts = _compressed(rows)
-    joined = texts.join(covered, _same_row(texts, covered), "left").select(texts["doc_id"], "packed", "spans")
+    known = F.col("doc_id").isNotNull()
+    content = F.shiftright(F.xxhash64(text, known), 32).cast("int")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc"), content.alias("content"), text.alias("text"), known.alias("known"))
+    covered = repeated(rows.drop("known")).groupBy(*_ID).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    joined = _compressed(rows).join(covered, _ID, "left").select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
