@@ -170,13 +170,14 @@ def _ranked(rows: DataFrame, size: int) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """Spans ``(doc, content, from, to)`` that cover all repeated strings of rows ``(doc, content, text)``."""
-    several = _anchor_table(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    # What a join keeps by is written first: each side then has a shuffle of its own, which can be split for a hot string.
+    several = compact(_anchor_table(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
     found = compact(_anchor_table(docs).join(several, "core", "left_semi"))
     kinds = found.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_ID, "windows")).alias("one"))
     kinds = compact(kinds)
     whole = found.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select(*_ID, *_unpacked())
     spans = [whole.select(*_ID, F.col("first").alias("from"), (F.col("last") + SPAN).alias("to"))]
-    mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core")
+    mixed = compact(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core"))
     rest = kinds.join(mixed, "core", "left_semi").select("one.*", (F.col("n") > 1).alias("stands"))
     cut = _cut_out(docs, rest).select(F.monotonically_increasing_id().alias("at"), *_ID, "stands", "around", *_unpacked())
     cut = compact(cut)
@@ -196,7 +197,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         kinds = compact(kinds)
         twice = kinds.filter("n > 1").select("common", "joint")
         spans.append(ranked.filter("NOT stands").join(twice, ["common", "joint"], "left_semi").select(*_ID, "from", "to"))
-        several = kinds.groupBy("common").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("common")
+        several = compact(kinds.groupBy("common").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("common"))
         open_ = kinds.join(several, "common", "left_semi").select("one.*", (F.col("stands") | (F.col("n") > 1)).alias("stands"))
         last_size = size
     covered = spans[0]
