@@ -79,3 +79,12 @@ def test_redaction(spark, spans, expected):
 def test_no_python_in_the_plan(spark):
     plan = pii.summary(pii.find(frame(spark).repartition(2)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("arrow", "")
+
+
+def test_a_kind_that_few_texts_hold_gets_its_threshold_from_all_of_them(spark):
+    common = [f"note {k} to user{k}@example.org or +1 415 555 {1000 + k} of 2020-01-{k % 28 + 1:02d} 12 7 300.4.5.{k}" for k in range(3000)]
+    rare = [f"note {k} seen from 10.{k}.7.{k + 3} then" for k in range(120)]
+    texts = [*common, *rare, "seen from 10[.]9[.]8[.]7 then"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.summary(pii.find(docs, sample=40)).filter(f"doc_id = {len(texts) - 1}").first()
+    assert found["spans"] == "ip:10:24"

@@ -5,19 +5,19 @@ and checks; their matches are always kept. The generators look for anything that
 an address, IP, card or phone number written in another way, and their proposals may
 overlap. Boosted trees score a proposal by its format (length, digits, separators,
 checksum) and its context (the characters around it, cue words before it). They are fitted
-on proposals and base matches of a bounded sample of texts: base matches, as they are and
-rewritten in other formats, are the positive cases, proposals that fail the checks the
-negative ones. On a part of the sample that the trees do not see, each kind gets the
-lowest threshold at which nearly all of what passes is right; a kind for which there is
-none adds nothing. A proposal that passes is kept where it touches no base match.
+on proposals and base matches of a bounded sample of texts, drawn for each kind from those
+that hold any: base matches, as they are and rewritten in other formats, are the positive
+cases, proposals that fail the checks the negative ones. Over the labelled proposals of all
+texts each kind gets the lowest threshold at which nearly all of what passes is right; a
+kind for which there is none adds nothing. A proposal that passes is kept where it touches
+no base match.
 
 Places are code points. Offsets come from marking matches with a control character that
 is first replaced, one for one, where a text holds it itself. Everything is DataFrame and
 SQL functions and Spark's own library of models.
 
 NULL text is empty. Equal rows get equal results; extra columns are left out unless they
-are named. An empty table, or a sample without both positive and negative cases, gives the
-base matches alone.
+are named. A table without both positive and negative cases gives the base matches alone.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ _GENERATORS = {
 }
 _MARK, _INSTEAD = "\u0001", "\u0002"
 _CONTEXT = 24
-SAMPLE = 6000  # texts that the trees are fitted on, about
+SAMPLE = 6000  # texts that the trees are fitted on, about, of each label
+FEW = 50  # texts of a kind and label up to which the trees are fitted on all of them
 PRECISION = 0.99
 
 FEATURES = (
@@ -168,14 +169,13 @@ def _rewritten(positive: DataFrame) -> DataFrame:
 
 
 def _examples(proposals: DataFrame) -> DataFrame:
-    """Labelled proposals; every fifth text tells what the thresholds are.
+    """Labelled proposals of all texts, with their features.
 
     A part of a strict match is neither right nor wrong, and what fails the checks after a cue word may be right.
     """
     labelled = proposals.filter("NOT part").withColumn("label", F.col("strict").cast("double"))
     more = _rewritten(labelled.filter("strict")).select(*labelled.columns)
-    examples = _features(labelled.unionByName(more)).filter("label = 1 OR cue = 0")
-    return examples.withColumn("held", F.pmod("content", F.lit(5)) == 0)
+    return _features(labelled.unionByName(more)).filter("label = 1 OR cue = 0")
 
 
 def _proposals(scanned: DataFrame) -> DataFrame:
@@ -191,16 +191,25 @@ def _certain(scored: DataFrame) -> Column:
     return vector_to_array(scored["probability"])[1]
 
 
-def learn(proposals: DataFrame, *, texts: int, sample: int = SAMPLE) -> tuple[GBTClassificationModel, dict[str, float]] | None:
-    """Trees and the threshold of each kind, from about ``sample`` of ``texts`` texts; None without both labels."""
+def learn(proposals: DataFrame, *, sample: int = SAMPLE) -> tuple[GBTClassificationModel, dict[str, float]] | None:
+    """Trees, from about ``sample`` texts of each label, and the threshold of each kind, from all; None without both labels.
+
+    Each kind takes an equal part of the sample. More than four fifths of a kind's texts are only taken if these are few.
+    """
+    examples = _examples(proposals)
+    groups = examples.groupBy("kind", "label").agg(F.approx_count_distinct("content").alias("texts")).collect()  # eight numbers
+    if len({r["label"] for r in groups}) < 2:
+        return None
+    shares = {r: 1.0 if r["texts"] <= FEW else min(0.8, sample / len(KINDS) / r["texts"]) for r in groups}
+    share = F.coalesce(*[F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), F.lit(part)) for r, part in shares.items()])
     drawn = F.shiftrightunsigned(F.xxhash64("content", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    examples = staged(_examples(proposals.filter(drawn < min(1.0, sample / max(texts, 1)))))
-    fitted = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(examples)
-    kinds = fitted.groupBy("held", "label").count().collect()  # four numbers
-    if len({(r["held"], r["label"]) for r in kinds}) < 4:
+    told = [c for c in examples.columns if c not in ("doc_id", "base")]
+    fitted = staged(examples.filter(drawn < share).select(told).distinct())
+    if fitted.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, checkpointInterval=-1).fit(fitted.filter("NOT held").coalesce(4))
-    scored = model.transform(fitted.filter("held"))
+    gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, checkpointInterval=-1).fit(gather.transform(fitted).coalesce(4))
+    scored = model.transform(gather.transform(examples))
     scored = scored.select("kind", "label", F.round(_certain(scored), 6).alias("certain"))
     levels = scored.groupBy("kind", "certain").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all"))
     down = Window.partitionBy("kind").orderBy(F.desc("certain"))
@@ -238,7 +247,7 @@ def _text(spans: Column) -> Column:
 def find(docs: DataFrame, carry: Sequence[str] = (), *, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, carried columns, ``base`` and ``spans`` (all kept spans, in order) of every row of ``docs``."""
     scanned = compact(scan(docs, carry))
-    learned = learn(_proposals(scanned), texts=scanned.count(), sample=sample)
+    learned = learn(_proposals(scanned), sample=sample)
     added = added_spans(scanned, learned).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     together = scanned.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
