@@ -83,8 +83,24 @@ def test_no_python_in_the_plan(spark):
 
 def test_a_kind_that_few_texts_hold_gets_its_threshold_from_all_of_them(spark):
     common = [f"note {k} to user{k}@example.org or +1 415 555 {1000 + k} of 2020-01-{k % 28 + 1:02d} 12 7 300.4.5.{k}" for k in range(3000)]
-    rare = [f"note {k} seen from 10.{k}.7.{k + 3} then" for k in range(120)]
+    rare = [f"line {k} seen from 10.{k}.7.{k + 3} then" for k in range(120)]
     texts = [*common, *rare, "seen from 10[.]9[.]8[.]7 then"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = pii.summary(pii.find(docs, sample=40)).filter(f"doc_id = {len(texts) - 1}").first()
     assert found["spans"] == "ip:10:24"
+
+
+def test_what_fails_a_check_after_a_cue_word_is_a_negative_example(spark):
+    texts = ["card 1234 5678 1234 5678", "host 300[.]1[.]1[.]1", "host 30[.]1[.]1[.]1", "tel (415) 555-1234", "tel (415) 55-12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = pii._examples(pii._proposals(pii.scan(docs))).filter("cue = 1 AND label = 0").collect()
+    told = {(r["doc_id"], r["kind"]) for r in rows}
+    assert {(0, "card"), (1, "ip"), (4, "phone")} <= told
+    assert not told & {(2, "ip"), (3, "phone")}
+
+
+def test_cue_words_are_whole_words(spark):
+    before = {"at the hotel ": 0.0, "typically ": 0.0, "the discard ": 0.0, "tel. ": 1.0, "my e-mail: ": 1.0, "phones ": 1.0, "tel and some more of it ": 0.0}
+    rows = [(b, b, "phone", "12 34 56 78", "") for b in before]
+    found = pii._features(spark.createDataFrame(rows, "said string, before string, kind string, found string, after string")).collect()
+    assert {r["said"]: r["cue"] for r in found} == before

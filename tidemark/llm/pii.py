@@ -49,6 +49,8 @@ _GENERATORS = {
     "card": r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+|00)?[(]?[0-9]{1,4}[)]?(?:[\x20./()-]{1,2}[0-9]{2,5}){2,4}(?![0-9])",
 }
+# Whole words; what may be the end of a word that the context cuts is left out before.
+_CUE = r"(?<!\p{L})(?:e-?mail|mail|mailto|phone|telephone|tel|call|mobile|fax|card|visa|credit|addr|address|host|hostname|ip|contact)s?(?!\p{L})"
 _MARK, _INSTEAD = "\u0001", "\u0002"
 _CONTEXT = 24
 SAMPLE = 6000  # texts that the trees are fitted on, about, of each label
@@ -127,6 +129,7 @@ def scan(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def _features(rows: DataFrame) -> DataFrame:
     """Numbers that describe a proposal's format and context; ``rows`` hold kind, found, before and after."""
     found, before = F.col("found"), F.lower("before")
+    whole = F.when(F.length("before") < _CONTEXT, before).otherwise(F.regexp_replace(before, r"^\p{L}+", ""))
 
     def count(pattern: str) -> Column:
         return F.length(F.regexp_replace(found, f"[^{pattern}]", "")).cast("double")
@@ -149,12 +152,23 @@ def _features(rows: DataFrame) -> DataFrame:
         "octets": _octets(found).cast("double"),
         "before": kind_of_character(F.when(F.length("before") > 0, F.substring("before", -1, 1)).otherwise("")),
         "after": kind_of_character(F.col("after")),
-        "cue": before.rlike(r"mail|phone|tel|call|mobile|fax|card|visa|credit|addr|host|\bip\b|contact").cast("double"),
+        "cue": whole.rlike(_CUE).cast("double"),
         "secret": before.rlike("token|key|password|secret|hash|sha|id\\b").cast("double"),
     }
     return rows.withColumns(numbers)
 
 
+def _impossible(kind: Column, found: Column) -> Column:
+    """Whether a proposal cannot be right in any way of writing it: an octet over 255, a failed checksum, too few or many digits."""
+    digits = F.length(_digits(found))
+    return (
+        F.when(kind == "ip", ~_octets(found))
+        .when(kind == "card", ~_luhn(found) | ~digits.between(14, 19))
+        .when(kind == "phone", ~digits.between(10, 15))
+        .otherwise(F.lit(False))
+    )
+
+
 def _rewritten(positive: DataFrame) -> DataFrame:
     """Strict matches in other ways of writing them, in the same places."""
     digits = _digits(F.col("found"))
@@ -171,11 +185,11 @@ def _rewritten(positive: DataFrame) -> DataFrame:
 def _examples(proposals: DataFrame) -> DataFrame:
     """Labelled proposals of all texts, with their features.
 
-    A part of a strict match is neither right nor wrong, and what fails the checks after a cue word may be right.
+    A part of a strict match is neither right nor wrong, and what is no strict match after a cue word may be right unless it fails a check.
     """
     labelled = proposals.filter("NOT part").withColumn("label", F.col("strict").cast("double"))
     more = _rewritten(labelled.filter("strict")).select(*labelled.columns)
-    return _features(labelled.unionByName(more)).filter("label = 1 OR cue = 0")
+    return _features(labelled.unionByName(more)).filter((F.col("label") == 1) | (F.col("cue") == 0) | _impossible(F.col("kind"), F.col("found")))
 
 
 def _proposals(scanned: DataFrame) -> DataFrame:
