@@ -280,19 +280,28 @@ def _content(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns and ``ids`` (array of int) of the ``text`` of every row of ``docs``."""
+def encode(docs: DataFrame, path: str, carry: Sequence[str] = ("doc_id",), *, verify: bool = False) -> DataFrame:
+    """The ``carry`` columns and ``ids`` (array of int) of the ``text`` of every row of ``docs``.
+
+    With ``verify`` also ``decodes``: whether the ids, decoded in the same pass, give the text.
+    """
     content = _content(docs.sparkSession, path)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value)
+        decoder = Decoder(encoder.tables)
         for batch in batches:
-            ids = [_unpack(encoder.encode(t.as_py())) for t in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "ids"])
-
-    return in_parts(docs.select(*carry, text_or_empty().alias("_encoded")), run, f"{fields}, ids array<int>")
+            texts = batch.column(batch.num_columns - 1)
+            ids = [_unpack(encoder.encode(t.as_py())) for t in texts]
+            columns, names = [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "ids"]
+            if verify:
+                same = [decoder.push(x) + decoder.finish() == t.as_py() for x, t in zip(ids, texts, strict=True)]
+                columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "decodes"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = ", decodes boolean" if verify else ""
+    return in_parts(docs.select(*carry, text_or_empty().alias("_encoded")), run, f"{fields}, ids array<int>{more}")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
