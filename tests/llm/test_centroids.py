@@ -1,0 +1,90 @@
+"""Clusters against plain rounds over all vectors and centroids."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from tidemark.llm import centroids
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, v string, dots string, cluster string, distance string"
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(i, v, 0, "?", "?", "?", "?") for i, v in rows], SCHEMA)
+
+
+def _plain(rows, k, rounds, dimensions, scale):
+    """The same with every distance taken anew, on Python integers."""
+    kept = []
+    for i, v in rows:
+        v = None if v is None else [None if x is None else float(np.float32(x)) for x in v]
+        if v is not None and len(v) == dimensions and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(scale * x) for x in v]))
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
+    current = [v for _, v in order[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(current))
+
+    for _ in range(rounds):
+        of = [nearest(v)[1] for _, v in kept]
+        for j in range(len(current)):
+            mine = [v for (_, v), o in zip(kept, of, strict=True) if o == j]
+            if mine:
+                current[j] = [sum(x) // len(mine) for x in zip(*mine, strict=True)]
+    last = [(i, *nearest(v)) for i, v in kept]
+    inertia = [sum(d for _, d, j in last if j == c) for c in range(len(current))]
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in current]
+    return [(i, j, d, inertia[j], sum(inertia), digest[j]) for i, d, j in last]
+
+
+def _rows(seed, n=150, dimensions=6):
+    rng = random.Random(seed)
+    rows = [(k, [rng.gauss(rng.choice([-1, 0, 2]), 0.4) for _ in range(dimensions)]) for k in range(n)]
+    rows += [(7, [0.5] * dimensions)] * 60 + [(500 + k, [0.25] * dimensions) for k in range(90)]
+    rows += [(None, [0.125] * dimensions), (901, None), (902, []), (903, [1.0] * (dimensions + 1)), (904, [None] * dimensions)]
+    return rows + [(905, [float("nan")] * dimensions), (906, [float("inf")] + [0.0] * (dimensions - 1)), (907, [0.0] * dimensions)]
+
+
+@pytest.mark.parametrize(("seed", "k", "rounds"), [(1, 8, 10), (2, 3, 1), (3, 5, 0)])
+def test_equals_plain_rounds(spark, rows, seed, k, rounds):
+    data = _rows(seed)
+    got = centroids.cluster(_frame(spark, data), centroids=k, rounds=rounds, dimensions=6, scale=1024)
+    assert rows(got) == sorted(_plain(data, k, rounds, 6, 1024), key=repr)
+
+
+def test_fewer_vectors_than_centroids_and_equal_seeds(spark, rows):
+    data = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-3.0, 0.5])]
+    got = centroids.cluster(_frame(spark, data), centroids=8, rounds=10, dimensions=2)
+    assert rows(got) == sorted(_plain(data, 8, 10, 2, 1024), key=repr)
+
+
+def test_no_vectors(spark):
+    got = centroids.cluster(_frame(spark, [(1, None)]), dimensions=2)
+    assert got.count() == 0
+    assert got.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+def test_components_too_large_are_an_error(spark):
+    with pytest.raises(Exception, match="component too large"):
+        centroids.cluster(_frame(spark, [(1, [1e30, 0.0])]), dimensions=2).collect()
+
+
+def test_only_what_moved_is_sent():
+    before, after = np.array([[1, 2, 3], [4, 5, 6]]), np.array([[1, 0, 3], [4, 5, 6]])
+    (places, by), (none, _) = centroids.moved(before, after)
+    assert places.tolist() == [1] and by.tolist() == [-2] and not len(none)
+
+
+def test_scratch_of_earlier_rounds_is_released(spark, tmp_path):
+    from tidemark.operators.staging import noting_scratch
+
+    with noting_scratch() as folders:
+        centroids.cluster(_frame(spark, _rows(4)), centroids=4, rounds=6, dimensions=6).count()
+    from pathlib import Path
+
+    assert len(folders) > 2
+    assert sum(Path(f.removeprefix("file:")).exists() for f in folders) == 1

@@ -1,0 +1,89 @@
+"""Whitening against exact sums and a library's eigenvectors."""
+
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tidemark.llm import whitening
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, x string, n string, component string, whitened string"
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(i, v, 0, "?", "?", "?", "?") for i, v in rows], SCHEMA)
+
+
+def _rows(seed, n, dimensions, flat=0):
+    rng = np.random.default_rng(seed)
+    data = rng.standard_normal((n, dimensions)) * np.linspace(1, 3, dimensions)
+    data[:, :flat] = 0.5
+    rows = [(int(k), [float(x) for x in row]) for k, row in enumerate(data.astype(np.float32))]
+    rows += [(3, rows[3][1])] * 50 + [(1000 + k, rows[4][1]) for k in range(40)] + [(None, rows[5][1])]
+    return rows + [(9001, None), (9002, []), (9003, [float("nan")] * dimensions), (9004, [None] * dimensions), (9005, [1.0] * (dimensions + 2))]
+
+
+def _expected(rows, dimensions, many):
+    whole = [(i, tuple(math.floor(64 * float(c)) + 1_000_000 for c in v)) for i, v in rows if v and len(v) == dimensions and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({x for _, x in whole})
+    n, sums = len(fit), [sum(x) for x in zip(*fit, strict=True)]
+    centred = [[n * a - s for a, s in zip(x, sums, strict=True)] for x in fit]
+    cov = np.array([[float(Fraction(sum(r[i] * r[j] for r in centred), n**3)) for j in range(dimensions)] for i in range(dimensions)])
+    e, c = np.linalg.eigh(cov)
+    e, c = e[::-1][:many], c[:, ::-1][:, :many]
+    e, c = e[e > 1e-9 * e[0]], c[:, : (e > 1e-9 * e[0]).sum()]
+    out = {}
+    for i, x in whole:
+        d = [n * a - s for a, s in zip(x, sums, strict=True)]
+        w = np.array(d, float) / n @ c / np.sqrt(e)
+        for k in range(len(e)):
+            out.setdefault((i, k + 1), []).append((n, sum(v * v for v in d), w[k], e[k] / np.trace(cov)))
+    return out
+
+
+@pytest.mark.parametrize(("dimensions", "flat"), [(24, 0), (9, 3), (3, 0)])
+def test_equals_a_library(spark, dimensions, flat):
+    rows = _rows(dimensions, 160, dimensions, flat)
+    expected = _expected(rows, dimensions, 16)
+    got = whitening.whiten(_frame(spark, rows)).collect()
+    assert len(got) == sum(map(len, expected.values()))
+    signs = {}
+    for r in sorted(got, key=lambda r: -abs(r["whitened"])):
+        n, deviation, w, share = expected[(r["vec_id"], r["component"])][0]
+        sign = signs.setdefault(r["component"], np.sign(w) * np.sign(r["whitened"]))
+        assert (r["n"], r["deviation"]) == (n, deviation)
+        assert abs(r["whitened"] - sign * w) < 1e-7
+        assert abs(r["explained"] / share - 1) < 1e-9
+        assert r["identity_error"] < 1e-9
+
+
+@pytest.mark.parametrize("values", [[5.0] * 20 + [1.0] * 12, list(range(40, 8, -1)), [9.0, 9.0 - 1e-9, 9.0 - 2e-9] + [0.0] * 29, [0.0] * 32])
+def test_eigenvectors_of_equal_and_close_values(values):
+    rng = np.random.default_rng(5)
+    q, _ = np.linalg.qr(rng.standard_normal((32, 32)))
+    matrix = q @ np.diag(values) @ q.T
+    matrix = (matrix + matrix.T) / 2
+    e, c = whitening.leading_components(matrix, 16)
+    assert len(e) == min(16, sum(v > 0 for v in values))
+    if len(e):
+        assert np.abs(e - sorted(values)[::-1][: len(e)]).max() < 1e-12 * values[0]
+        assert np.abs(c @ c.T - np.eye(len(e))).max() < 1e-12
+        assert np.abs(matrix @ c.T - c.T * e).max() < 1e-12 * values[0]
+
+
+def test_sturm_counts_equal_the_eigenvalues_below():
+    rng = np.random.default_rng(2)
+    d, o = rng.standard_normal(12), rng.standard_normal(11)
+    values = np.linalg.eigvalsh(np.diag(d) + np.diag(o, 1) + np.diag(o, -1))
+    at = np.linspace(-4, 4, 41)
+    assert whitening.sturm_count(d, o, at).tolist() == [(values < x).sum() for x in at]
+
+
+def test_far_from_zero_and_small_tables(spark):
+    far = [(k, [1e6 + k % 5, 1e6 - k % 3]) for k in range(30)]
+    got = whitening.whiten(_frame(spark, far)).collect()
+    assert {r["component"] for r in got} == {1, 2} and max(r["identity_error"] for r in got) < 1e-9
+    assert whitening.whiten(_frame(spark, [(1, [1.0, 2.0])] * 5)).count() == 0
+    assert whitening.whiten(_frame(spark, [(1, None)])).count() == 0
+    assert [r["component"] for r in whitening.whiten(_frame(spark, [(1, [1.0]), (2, [2.0])])).collect()] == [1, 1]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import balltree, bpe, chat, curriculum, doubling, hilbert, langid, pii, simhash, sketch
+from tidemark.llm import balltree, bpe, centroids, chat, curriculum, doubling, hilbert, langid, pii, quality, simhash, sketch, whitening
 from tidemark.operators.staging import staged
 
 
@@ -75,6 +75,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    scored = quality.predict(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), centroids=8, rounds=_ROUNDS, dimensions=64, scale=1024, salt="3")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+_ROUNDS = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_curriculum": op2_curriculum,
@@ -86,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sketch": op8_sketch,
     "op9_doubling": op9_doubling,
     "op10_bpe": op10_bpe,
+    "op11_quality": op11_quality,
+    "op12_centroids": op12_centroids,
+    "op13_whitening": op13_whitening,
 }
 
 # The sums of a source run over all its documents in the order of their draw, and the excess
@@ -151,4 +170,42 @@ SELECT conv_id, count(*) AS n_turns,
     + length(regexp_replace(text, '(\\|<turn>|</turn>|### )', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
-ORACLES: dict[str, str] = {"op2_curriculum": _MIX, "op4_balltree": _TOP, "op6_chat": _CHAT}
+
+
+def _clusters(rounds: int) -> str:
+    """Each round written out: plain distances to all centroids, then sums by component."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS k, v FROM (
+    SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT 8)
+)"""
+    ]
+    for t in range(rounds + 1):
+        parts.append(
+            f"""a{t} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), k := k)) AS best
+  FROM kept, c{t} c GROUP BY r
+)"""
+        )
+        if t < rounds:
+            parts.append(
+                f"""s{t} AS MATERIALIZED (
+  SELECT best.k AS k, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n
+  FROM a{t} JOIN kept USING (r), generate_series(1, 64) AS places(j) GROUP BY best.k, j
+), m{t} AS MATERIALIZED (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{t} GROUP BY k
+), c{t + 1} AS MATERIALIZED (
+  SELECT c.k, COALESCE(m.v, c.v) AS v FROM c{t} c LEFT JOIN m{t} m ON c.k = m.k
+)"""
+            )
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(c.k AS INTEGER) AS cluster, best.d AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY c.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} c ON c.k = best.k"""
+
+
+ORACLES: dict[str, str] = {"op2_curriculum": _MIX, "op4_balltree": _TOP, "op6_chat": _CHAT, "op12_centroids": _clusters(_ROUNDS)}
