@@ -89,7 +89,7 @@ def test_runs_that_die_are_repeated(spark, lake, monkeypatch):
     assert jobs.ingest(lake, source(spark, {1: "AA", 4: "d"}, DAY_ONE), CRM_CUSTOMERS, SECOND) == 3
 
     with monkeypatch.context() as broken:
-        broken.setattr(jobs.FileLedger, "add", die)
+        broken.setattr(jobs.BatchLedger, "merged", die)
         with pytest.raises(RuntimeError):
             jobs.merge(lake, CRM_CUSTOMERS)
     once = names_in(lake.raw(CRM_CUSTOMERS))

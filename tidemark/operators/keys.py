@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +46,14 @@ def extend_surrogate_key(
 ) -> DataFrame:
     """Add ``name`` to ``df``: the key that ``given(name, *business_key)`` has for a row, or the next free one.
 
-    Keys once given never change; rows with a new business key, which is unique and not
-    NULL, are numbered after the largest given key in the order of ``order_by``.
+    Keys once given never change; rows with a new business key, which is unique (NULL is a
+    value), are numbered after the largest given key in the order of ``order_by``.
     """
-    known = given.select(name, *business_key)
-    kept = df.join(known, list(business_key)).select(name, *df.columns)
+    known = given.select(name, *[F.col(c).alias(f"_given_{c}") for c in business_key])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_given_{c}")) for c in business_key])
+    kept = df.join(known, same).select(name, *df.columns)
     top = known.agg(F.max(name)).first()[0] or 0  # one number
-    fresh = with_surrogate_key(df.join(known, list(business_key), "left_anti"), name, order_by, unique=True)
+    fresh = with_surrogate_key(df.join(known, same, "left_anti"), name, order_by, unique=True)
     return kept.unionByName(fresh.withColumn(name, F.col(name) + top))
 
 
