@@ -128,28 +128,111 @@ FROM ({{customers_then}}) t FULL JOIN ({{latest_customer_changes}}) s ON t.cst_i
 WHERE CASE WHEN t.cst_id IS NULL THEN s.operation_type IN ({adding}) ELSE coalesce(s.operation_type, '') <> 'DELETE' END"""
 
 
-def _after_merge(view: str, key: str, log_name: str, columns: str) -> str:
-    """A table after the strict merge of changes that carry its own current rows."""
-    latest = f"""(SELECT * FROM ({{cdc_log}}) WHERE table_name = '{log_name}'
-        QUALIFY row_number() OVER (PARTITION BY id ORDER BY changed_at DESC, log_id DESC) = 1)"""
+# Columns of the six tables, key first, and the key's type.
+_TABLES = {
+    "crm_customers": ("crm", "crm_customer", "INTEGER", "cst_id cst_key cst_firstname cst_lastname cst_marital_status cst_gndr cst_create_date"),
+    "crm_products": ("crm", "crm_products", "INTEGER", "prd_id prd_key prd_nm prd_cost prd_line prd_start_dt prd_end_dt"),
+    "crm_sales": ("crm", "crm_sales", "VARCHAR", "sls_ord_num sls_prd_key sls_cust_id sls_order_dt sls_ship_dt sls_due_dt sls_sales sls_quantity sls_price"),
+    "erp_customers": ("erp", "erp_customers", "VARCHAR", "cid bdate gen"),
+    "erp_locations": ("erp", "erp_locations", "VARCHAR", "cid cntry"),
+    "erp_categories": ("erp", "erp_categories", "VARCHAR", "id cat subcat maintenance"),
+}
+_MODES = {"strict": ("'UPDATE'", "'INSERT'"), "upsert": ("'UPDATE', 'INSERT'", "'INSERT', 'UPDATE'")}
+
+
+def _once(view: str) -> str:
+    """The rows of a table by its key; order numbers that come twice are one row."""
+    if "sales" not in view:
+        return f"({{{view}}})"
+    columns = _TABLES["crm_sales"][3].split()[1:]
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in columns)
+    return f"(SELECT * FROM ({{{view}}}) QUALIFY row_number() OVER (PARTITION BY sls_ord_num ORDER BY {order}) = 1)"
+
+
+def _applied(base: str, name: str, window: str, mode: str) -> str:
+    """``base`` after the merge of a table's logged changes in a window, which carry its rows as they are now."""
+    log, log_name, key_type, columns = _TABLES[name]
+    key, *rest = columns.split()
+    overwriting, adding = _MODES[mode]
+    new = f"t.{key} IS NULL OR s.operation_type IN ({overwriting})"
+    picked = "".join(f", CASE WHEN {new} THEN n.{c} ELSE t.{c} END AS {c}" for c in rest)
     return f"""
-SELECT {columns} FROM ({{{view}}}) t
-WHERE CAST({key} AS VARCHAR) NOT IN (SELECT id FROM {latest} WHERE operation_type = 'DELETE')
-UNION ALL BY NAME
-SELECT CAST(id AS INTEGER) AS {key} FROM {latest}
-WHERE operation_type = 'INSERT' AND id NOT IN (SELECT CAST({key} AS VARCHAR) FROM ({{{view}}}))"""
+SELECT coalesce(t.{key}, CAST(s.id AS {key_type})) AS {key}{picked}, CASE WHEN {new} THEN s.changed_at ELSE t._created_at END AS _created_at
+FROM ({base}) t FULL JOIN (
+  SELECT id, operation_type, changed_at FROM ({{{log}_log}}) WHERE table_name = '{log_name}' AND {window}
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY changed_at DESC, log_id DESC) = 1) s ON CAST(t.{key} AS VARCHAR) = s.id
+LEFT JOIN {_once(f"{name}_now")} n ON CAST(n.{key} AS VARCHAR) = s.id
+WHERE CASE WHEN t.{key} IS NULL THEN s.operation_type IN ({adding}) ELSE coalesce(s.operation_type, '') <> 'DELETE' END"""
+
+
+def _raw(name: str, days: int, mode: str = "strict") -> str:
+    """A raw table after so many days."""
+    columns = ", ".join(_TABLES[name][3].split())
+    rows = f"SELECT {columns}, TIMESTAMP '2024-06-30 12:00:00' AS _created_at FROM {_once(name)}"
+    end = "TIMESTAMP '1998-05-01 00:00:00'" if name in ("crm_sales", "erp_customers", "erp_locations") else "TIMESTAMP '2024-01-16 00:00:00'"
+    for window in (f"changed_at <= {end}", f"changed_at > {end}")[:days]:
+        rows = _applied(rows, name, window, mode)
+    return rows
+
+
+def _cleaned_erp(name: str, rows: str, as_of: str) -> str:
+    if name == "erp_customers":
+        return f"""SELECT CASE WHEN starts_with(cid, 'NAS') THEN substr(cid, 4) ELSE cid END AS cid,
+       CASE WHEN bdate > DATE '{as_of}' THEN NULL ELSE bdate END AS bdate, {_gender("gen")} AS gen, _created_at FROM ({rows})"""
+    if name == "erp_locations":
+        return f"""SELECT replace(cid, '-', '') AS cid,
+       CASE WHEN trim(cntry) = 'DE' THEN 'Germany' WHEN trim(cntry) IN ('US', 'USA') THEN 'United States'
+            WHEN cntry IS NULL OR trim(cntry) = '' THEN 'n/a' ELSE trim(cntry) END AS cntry, _created_at FROM ({rows})"""
+    return f"SELECT id, trim(cat) AS cat, trim(subcat) AS subcat, trim(maintenance) AS maintenance, _created_at FROM ({rows})"
+
+
+_CLEANERS = {"crm_customers": _clean_customers, "crm_products": _clean_products, "crm_sales": _clean_sales}
+
+
+def _clean_after(name: str, days: int, mode: str = "strict") -> str:
+    rows, as_of = _raw(name, days, mode), "2024-06-30" if days == 1 else "2187-03-09"
+    if name.startswith("erp"):
+        return _cleaned_erp(name, rows, as_of)
+    # Cleaned sales keep the time of their row behind their other columns.
+    cleaned = _CLEANERS[name](f"({rows})")
+    return cleaned.replace("END AS sls_price\nFROM", "END AS sls_price, _created_at\nFROM") if name == "crm_sales" else cleaned
+
+
+def _star(mode: str) -> str:
+    """Dimensions and fact after two days as parts of a WITH clause; ids that are new on the second are numbered after the others."""
+    parts = []
+    for days in (1, 2):
+        parts += [f"{n}{days} AS MATERIALIZED ({_clean_after(n, days, mode)})" for n in _TABLES]
+        dimensions = {
+            "customers": _dim_customers(f"crm_customers{days}"),
+            "products": _dim_products(f"crm_products{days}", "p.cat_id", "p.prd_key"),
+        }
+        for n, text in dimensions.items():
+            for erp in ("customers", "locations", "categories"):
+                text = text.replace(f"({{clean_erp_{erp}}})", f"erp_{erp}{days}")
+            parts.append(f"ranked_{n}{days} AS MATERIALIZED ({text})")
+    for n, one in (("customers", "customer"), ("products", "product")):
+        first, second, key, by = f"ranked_{n}1", f"ranked_{n}2", f"{one}_key", f"{one}_id"
+        parts.append(
+            f"""keys_{n} AS MATERIALIZED (SELECT {by}, {key} FROM {first} UNION ALL
+  SELECT {by}, (SELECT count(*) FROM {first}) + row_number() OVER (ORDER BY {by}) FROM {second} WHERE {by} NOT IN (SELECT {by} FROM {first}))"""
+        )
+        parts.append(f"dim_{n} AS MATERIALIZED (SELECT r.* REPLACE (k.{key} AS {key}) FROM {second} r JOIN keys_{n} k USING ({by}))")
+    fact = _fact("crm_sales2", lambda c: c, "dim_products", "dim_customers", _REPAIRED_ON_CLEAN)
+    return ", ".join([*parts, f"fact AS MATERIALIZED ({fact})"])
+
+
+def _content(name: str) -> str:
+    """All columns of a clean table as one text."""
+    columns = {"crm_products": "prd_id cat_id prd_key prd_nm prd_cost prd_line prd_start_dt prd_end_dt".split()}.get(name, _TABLES[name][3].split())
+    texts = [f"CAST(CAST(round({c} * 1000) AS BIGINT) AS VARCHAR)" if c == "sls_price" else f"CAST({c} AS VARCHAR)" for c in columns]
+    return ", ".join(f"coalesce({t}, '~')" for t in [*texts, "strftime(_created_at, '%Y-%m-%d %H:%M')"])
 
 
 _PARTS = {
     "latest_customer_changes": f"""
 SELECT * FROM ({_extract("")}) changes
 QUALIFY row_number() OVER (PARTITION BY cst_id ORDER BY changed_at DESC, log_id DESC) = 1""",
-    "sales_once": """
-SELECT * FROM ({crm_sales}) QUALIFY row_number() OVER (PARTITION BY sls_ord_num ORDER BY sls_prd_key DESC NULLS LAST,
-  sls_cust_id DESC NULLS LAST, sls_order_dt DESC NULLS LAST, sls_ship_dt DESC NULLS LAST, sls_due_dt DESC NULLS LAST,
-  sls_sales DESC NULLS LAST, sls_quantity DESC NULLS LAST, sls_price DESC NULLS LAST) = 1""",
-    "customers_after": _after_merge("crm_customers", "cst_id", "crm_customer", "*, DATE '2024-06-30' AS _created_at"),
-    "products_after": _after_merge("crm_products", "prd_id", "crm_products", "*"),
 }
 
 _TEXTS = {
@@ -260,17 +343,17 @@ FROM ({crm_sales})""",
     "snapshot_latest_load": """
 SELECT order_id, status, load_date FROM ({order_snapshots})
 QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY load_date DESC) = 1""",
-    "daily_run": "SELECT f.*, c.customer_id, c.first_name, c.country FROM ("
-    + _fact(
-        f"({_clean_sales('({sales_once})')})",
-        lambda c: c,
-        "(" + _dim_products(f"({_clean_products('({products_after})')})", "p.cat_id", "p.prd_key") + ")",
-        "(" + _dim_customers(f"({_clean_customers('({customers_after})')})") + ")",
-        _REPAIRED_ON_CLEAN,
-    )
-    + ") f LEFT JOIN ("
-    + _dim_customers(f"({_clean_customers('({customers_after})')})")
-    + ") c ON f.customer_key = c.customer_key",
+    "daily_run": f"""WITH {_star("strict")}
+SELECT f.*, c.customer_id, c.first_name, c.country, c.birthdate, r._created_at AS customer_changed_at
+FROM fact f LEFT JOIN dim_customers c ON f.customer_key = c.customer_key LEFT JOIN ({_raw("crm_customers", 2)}) r ON c.customer_id = r.cst_id""",
+    "incremental_clean": " UNION ALL ".join(
+        f"SELECT '{n.replace('_', '.', 1)}' AS table_name, concat_ws('|', {_content(n)}) AS content, CAST({1 if n == 'erp_categories' else 2} AS BIGINT) AS version FROM ({_clean_after(n, 2)})"
+        for n in _TABLES
+    ),
+    "incremental_fact": f"""WITH {_star("upsert")}
+SELECT f.*, p.product_id, p.category, p.start_date, c.customer_id, c.gender
+FROM fact f LEFT JOIN dim_products p ON f.product_key = p.product_key LEFT JOIN dim_customers c ON f.customer_key = c.customer_key""",
+    "late_commits": _applied(_raw("crm_customers", 0), "crm_customers", "true", "upsert"),
 }
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,10 @@ from tidemark.operators.changes import batch_end, distinct_rows, extract_changes
 from tidemark.operators.keys import extend_surrogate_key, with_surrogate_key
 from tidemark.operators.merge import apply_changes
 from tidemark.operators.quality import profile, quality_report
-from tidemark.operators.staging import scratch_folder
+from tidemark.operators.staging import scratch_folder, staged
 from tidemark.operators.versions import with_version_end
 from tidemark.plans import jobs
-from tidemark.plans.specs import CRM_SALES
+from tidemark.plans.specs import CRM_CUSTOMERS, CRM_SALES, TABLES
 from tidemark.sinks.files import write_snapshot
 from tidemark.sinks.state import FileLedger
 from tidemark.sinks.tables import VersionedTable
@@ -396,20 +397,83 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+# Up to when the logs can be seen on the first day, by table; later entries on the second.
+FIRST_DAY = {"crm_sales": datetime(1998, 5, 1), "erp_customers": datetime(1998, 5, 1), "erp_locations": datetime(1998, 5, 1)}
+FIRST_DAY_ELSE = datetime(2024, 1, 16)
+LATER = date(2187, 3, 9)  # birthdates that were in the future have come by then
+
+
+def _days(spark: SparkSession, sf_dir: str) -> tuple[FrameSource, FrameSource, FrameSource]:
+    """The sources as they are loaded, on the first day, and on the second."""
+    names = ("crm_customers", "crm_products", "crm_sales", "erp_customers", "erp_locations", "erp_categories")
+    loaded = {n.replace("_", ".", 1): load(spark, sf_dir, n) for n in names}
+    now = {n.replace("_", ".", 1): load(spark, sf_dir, f"{n}_now") for n in names}
+    now["crm.sales"] = staged(_one_each(now["crm.sales"]))
+    loaded["crm.sales"] = staged(_one_each(loaded["crm.sales"]))
+    logs = {source: staged(load(spark, sf_dir, f"{source.lower()}_log")) for source in ("CRM", "ERP")}
+    until = F.coalesce(*[F.when(F.col("table_name") == t, F.lit(str(day)).cast("timestamp_ntz")) for t, day in FIRST_DAY.items()], F.lit(str(FIRST_DAY_ELSE)).cast("timestamp_ntz"))
+    seen = {source: log.filter(F.col("changed_at") <= until) for source, log in logs.items()}
+    return FrameSource(loaded, {}), FrameSource(now, seen), FrameSource(now, logs)
+
+
+def _one_each(sales: DataFrame) -> DataFrame:
+    """Order numbers that come twice are one row of a source table, whose key they are."""
+    return latest_per_key(sales, CRM_SALES.key, [c for c in sales.columns if c != CRM_SALES.key[0]])
+
+
+def _after_two_days(spark: SparkSession, sf_dir: str, mode: str = "strict", *, empty_day: bool = False) -> jobs.Lake:
+    loaded, first, second = _days(spark, sf_dir)
+    lake = jobs.Lake(spark, scratch_folder(spark))
+    jobs.run_first_load(lake, loaded, date(2024, 6, 30), datetime(2024, 6, 30, 12))
+    jobs.run_daily(lake, first, date(2024, 7, 1), as_of=AS_OF, mode=mode)
+    jobs.run_daily(lake, second, date(2024, 7, 2), as_of=LATER, mode=mode)
+    if empty_day:
+        jobs.run_daily(lake, second, date(2024, 7, 3), as_of=LATER, mode=mode)
+    return lake
+
+
 @query("daily_run")
 def daily_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First load and one day's run over all six tables; the fact with its customer's number and name."""
-    tables = {
-        name.replace("_", ".", 1): load(spark, sf_dir, name)
-        for name in ("crm_customers", "crm_products", "crm_sales", "erp_customers", "erp_locations", "erp_categories")
-    }
-    sales = tables["crm.sales"]
-    order = [c for c in sales.columns if c != CRM_SALES.key[0]]
-    tables["crm.sales"] = latest_per_key(sales, CRM_SALES.key, order)
-    log = load(spark, sf_dir, "cdc_log")
-    source = FrameSource(tables, {"CRM": log, "ERP": log})
+    """First load and two days' runs over all six tables and both logs; the fact with its customer and when the customer last changed."""
+    lake = _after_two_days(spark, sf_dir)
+    customers = lake.star("dim_customers").read().select("customer_key", "customer_id", "first_name", "country", "birthdate")
+    stamps = lake.raw(CRM_CUSTOMERS).read().select(F.col("cst_id").alias("customer_id"), F.col("_created_at").cast("timestamp_ntz").alias("customer_changed_at"))
+    return lake.star("fact_sales").read().join(customers, "customer_key", "left").join(stamps, "customer_id", "left")
+
+
+@query("incremental_clean")
+def incremental_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six clean tables after two days and an empty one, with the number of versions that each took."""
+    lake = _after_two_days(spark, sf_dir, empty_day=True)
+    tables = []
+    for spec in TABLES:
+        table = lake.clean(spec)
+        rows = table.read()
+        columns = [F.round(F.col(c) * 1000).cast("bigint") if t == "double" else F.col(c).cast("timestamp_ntz") if t == "timestamp" else F.col(c) for c, t in rows.dtypes]
+        content = F.concat_ws("|", *[F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm") if t == "timestamp" else c.cast("string"), F.lit("~")) for c, (_, t) in zip(columns, rows.dtypes, strict=True)])
+        tables.append(rows.select(F.lit(spec.name).alias("table_name"), content.alias("content"), F.lit(table.version()).cast("bigint").alias("version")))
+    return reduce(DataFrame.unionByName, tables)
+
+
+@query("incremental_fact")
+def incremental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact after two days, its changes merged as upserts, with the ids behind its keys."""
+    lake = _after_two_days(spark, sf_dir, "upsert")
+    products = lake.star("dim_products").read().select("product_key", "product_id", "category", "start_date")
+    customers = lake.star("dim_customers").read().select("customer_key", "customer_id", "gender")
+    return lake.star("fact_sales").read().join(products, "product_key", "left").join(customers, "customer_key", "left")
+
+
+@query("late_commits")
+def late_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ingests of one log, of which every seventh entry of the first days becomes visible after later ones have been read."""
+    log, now = staged(load(spark, sf_dir, "cdc_log")), staged(load(spark, sf_dir, "crm_customers_now"))
+    tables = {"crm.customers": load(spark, sf_dir, "crm_customers")}
+    in_time = log.filter(F.col("changed_at") <= F.lit("2024-01-16").cast("timestamp_ntz")).filter((F.col("log_id") % 7 != 0) | (F.col("changed_at") <= F.lit("2024-01-10").cast("timestamp_ntz")))
     lake = jobs.Lake(spark, scratch_folder(spark))
-    jobs.run_first_load(lake, source, date(2024, 6, 30), datetime(2024, 6, 30, 12))
-    jobs.run_daily(lake, source, date(2024, 7, 1), as_of=AS_OF)
-    customers = lake.star("dim_customers").read().select("customer_key", "customer_id", "first_name", "country")
-    return lake.star("fact_sales").read().join(customers, "customer_key", "left")
+    jobs.run_first_load(lake, FrameSource(tables, {}), date(2024, 6, 30), datetime(2024, 6, 30, 12), [CRM_CUSTOMERS])
+    for day, seen in enumerate((in_time, log), 1):
+        jobs.ingest(lake, FrameSource({"crm.customers": now}, {"CRM": seen}), CRM_CUSTOMERS, date(2024, 7, day), overlap=timedelta(days=7))
+        jobs.merge(lake, CRM_CUSTOMERS, mode="upsert")
+    rows = lake.raw(CRM_CUSTOMERS).read()
+    return rows.withColumn("_created_at", F.col("_created_at").cast("timestamp_ntz"))

@@ -17,7 +17,7 @@ VIEWS = {
     # Customers with padded names and every spelling of the codes.
     "crm_customers": """
 SELECT CAST(c_custkey AS INT) AS cst_id,
-       concat('AW', lpad(CAST(c_custkey AS STRING), 8, '0')) AS cst_key,
+       concat('KD', lpad(CAST(c_custkey AS STRING), 8, '0')) AS cst_key,
        concat(' ', c_name, ' ') AS cst_firstname, concat(c_mktsegment, ' ') AS cst_lastname,
        CASE c_custkey % 4 WHEN 0 THEN 'M' WHEN 1 THEN ' s ' WHEN 2 THEN 'Married' END AS cst_marital_status,
        CASE c_custkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'f' WHEN 2 THEN 'n/a' WHEN 3 THEN ' F ' END AS cst_gndr,
@@ -33,15 +33,15 @@ SELECT CASE WHEN c_custkey % 97 = 5 THEN NULL ELSE c.cst_id END AS cst_id, c.cst
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN ({crm_customers}) c ON c.cst_id = c_custkey""",
     # Some ids belong to no customer, so some customers have no row here.
     "erp_customers": """
-SELECT concat(CASE WHEN c_custkey % 2 = 0 THEN 'NAS' ELSE '' END, CASE WHEN c_custkey % 7 = 3 THEN 'XX' ELSE 'AW' END,
+SELECT concat(CASE WHEN c_custkey % 2 = 0 THEN 'NAS' ELSE '' END, CASE WHEN c_custkey % 7 = 3 THEN 'XX' ELSE 'KD' END,
               lpad(CAST(c_custkey AS STRING), 8, '0')) AS cid,
-       CASE WHEN c_custkey % 11 = 0 THEN DATE '2999-01-01'
+       CASE WHEN c_custkey % 11 = 0 THEN DATE '2187-03-09'
             ELSE DATE '1950-01-01' + CAST((c_custkey * 37) % 18000 AS INT) END AS bdate,
        CASE c_custkey % 6 WHEN 0 THEN 'F' WHEN 1 THEN 'male' WHEN 2 THEN ' Female ' WHEN 3 THEN 'M' WHEN 4 THEN 'x' END AS gen
 FROM {customer}""",
     # Likewise.
     "erp_locations": """
-SELECT concat(CASE WHEN c_custkey % 9 = 4 THEN 'XX-' ELSE 'AW-' END, lpad(CAST(c_custkey AS STRING), 8, '0')) AS cid,
+SELECT concat(CASE WHEN c_custkey % 9 = 4 THEN 'XX-' ELSE 'KD-' END, lpad(CAST(c_custkey AS STRING), 8, '0')) AS cid,
        CASE c_custkey % 6 WHEN 0 THEN 'DE' WHEN 1 THEN 'US' WHEN 2 THEN ' USA' WHEN 3 THEN '' WHEN 4 THEN NULL
             ELSE concat(' ', n_name, ' ') END AS cntry
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
@@ -88,11 +88,11 @@ FROM {events}""",
     # The customer table when it was loaded (even ids) and now (multiples of three):
     # ids in both, in one, in none of the two.
     "customers_then": """
-SELECT CAST(c_custkey * 2 AS INT) AS cst_id, concat('AW', CAST(c_custkey * 2 AS STRING)) AS cst_key,
+SELECT CAST(c_custkey * 2 AS INT) AS cst_id, concat('KD', CAST(c_custkey * 2 AS STRING)) AS cst_key,
        'old' AS cst_lastname, CASE WHEN c_custkey % 6 = 3 OR c_custkey % 60 = 6 THEN NULL ELSE 'M' END AS cst_gndr,
        DATE '2023-01-01' AS _created_at FROM {customer}""",
     "customers_now": """
-SELECT CAST(c_custkey * 3 AS INT) AS cst_id, concat('AW', CAST(c_custkey * 3 AS STRING)) AS cst_key,
+SELECT CAST(c_custkey * 3 AS INT) AS cst_id, concat('KD', CAST(c_custkey * 3 AS STRING)) AS cst_key,
        CASE WHEN c_custkey % 4 = 2 THEN 'new' ELSE 'old' END AS cst_lastname,
        CASE WHEN c_custkey % 10 = 4 THEN NULL WHEN c_custkey % 4 = 2 THEN NULL ELSE 'M' END AS cst_gndr,
        DATE '2023-01-01' AS _created_at FROM {customer}""",
@@ -103,6 +103,54 @@ SELECT CAST(c_custkey * 3 AS INT) AS cst_id, concat('AW', CAST(c_custkey * 3 AS
 FROM {{orders}} WHERE o_orderdate <= DATE '{year}-12-31'"""
         for year in (1996, 1998, 2001)
     ),
+    # The source tables after all changes. Every row differs from what was loaded, so that a
+    # table that took up rows without a logged change, or left out logged ones, would show it.
+    "crm_customers_now": """
+SELECT cst_id, CASE WHEN cst_id % 3 = 0 THEN concat('KD', lpad(CAST(cst_id + 1 AS STRING), 8, '0')) ELSE cst_key END AS cst_key,
+       concat(' N', trim(cst_firstname)) AS cst_firstname, cst_lastname, 's' AS cst_marital_status,
+       CASE WHEN cst_id % 2 = 0 THEN 'n/a' ELSE 'M' END AS cst_gndr, cst_create_date
+FROM ({crm_customers}) c""",
+    # A quarter of the products moves to the next key, which changes the versions of two keys.
+    "crm_products_now": """
+SELECT prd_id, CASE WHEN prd_id % 4 = 0 THEN concat(substr(prd_key, 1, 9), lpad(CAST(CAST(floor(prd_id / 2) AS INT) + 1 AS STRING), 7, '0')) ELSE prd_key END AS prd_key,
+       concat('N', prd_nm) AS prd_nm, 7 AS prd_cost, prd_line, '2021-06-30' AS prd_start_dt, prd_end_dt
+FROM ({crm_products}) p""",
+    "crm_sales_now": """
+SELECT sls_ord_num, sls_prd_key, sls_cust_id + 1 AS sls_cust_id, sls_order_dt, sls_ship_dt, sls_due_dt, sls_sales,
+       sls_quantity + 1 AS sls_quantity, sls_price FROM ({crm_sales}) old
+UNION ALL
+SELECT concat('NO', sls_ord_num) AS sls_ord_num, sls_prd_key, sls_cust_id, sls_order_dt, sls_ship_dt, sls_due_dt, sls_sales, sls_quantity, sls_price
+FROM ({crm_sales}) new""",
+    "erp_customers_now": """
+SELECT cid, bdate + CAST(1 AS INT) AS bdate, 'female' AS gen FROM ({erp_customers}) c""",
+    "erp_locations_now": "SELECT cid, ' Elsewhere' AS cntry FROM ({erp_locations}) l",
+    "erp_categories_now": "SELECT id, concat(cat, '*') AS cat, subcat, 'Yes' AS maintenance FROM ({erp_categories}) c",
+    # Logs of both sources. A fifth of the order lines and a quarter of the orders name a row that
+    # was loaded; the others a new one, which only an INSERT makes.
+    "crm_log": """
+SELECT CAST(log_id AS BIGINT) AS log_id, operation_type, table_name, id, changed_at FROM ({cdc_log}) events
+UNION ALL
+SELECT l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS log_id,
+       CASE WHEN l_orderkey % 25 IN (0, 3) THEN 'DELETE' WHEN l_orderkey % 25 IN (1, 15) THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
+       'crm_sales' AS table_name,
+       concat(CASE WHEN l_orderkey % 5 = 0 THEN 'SO' ELSE 'NOSO' END, CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING)) AS id,
+       max(l_shipdate) AS changed_at
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey""",
+    "erp_log": """
+SELECT o_orderkey AS log_id,
+       CASE WHEN o_orderkey % 32 = 0 THEN 'DELETE' WHEN o_orderkey % 8 = 3 THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
+       'erp_customers' AS table_name,
+       concat(CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'ZZ' END, CASE WHEN o_custkey % 2 = 0 THEN 'NAS' ELSE '' END,
+              CASE WHEN o_custkey % 7 = 3 THEN 'XX' ELSE 'KD' END, lpad(CAST(o_custkey AS STRING), 8, '0')) AS id,
+       o_orderdate AS changed_at FROM {orders}
+UNION ALL
+SELECT o_orderkey AS log_id, CASE WHEN o_orderkey % 32 = 1 THEN 'DELETE' WHEN o_orderkey % 8 = 3 THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
+       'erp_locations' AS table_name,
+       concat(CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE 'ZZ' END, CASE WHEN o_custkey % 9 = 4 THEN 'XX-' ELSE 'KD-' END, lpad(CAST(o_custkey AS STRING), 8, '0')) AS id,
+       o_orderdate AS changed_at FROM {orders}
+UNION ALL
+SELECT CAST(ascii(substr(id, 2, 1)) * 1000 + ascii(substr(id, 5, 1)) AS BIGINT) AS log_id, 'UPDATE' AS operation_type, 'erp_categories' AS table_name, id,
+       (SELECT min(o_orderdate) FROM {orders}) AS changed_at FROM ({erp_categories}) c""",
     # Change files as the orders would have been delivered in, and those already merged.
     "order_files": """
 SELECT DISTINCT concat('load_date=', CAST(CAST(o_orderdate AS DATE) AS STRING), '/part-', CAST(o_orderkey % 16 AS STRING)) AS file_name
