@@ -343,6 +343,33 @@ FROM ({crm_sales})""",
     "snapshot_latest_load": """
 SELECT order_id, status, load_date FROM ({order_snapshots})
 QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY load_date DESC) = 1""",
+    "stream_merge_batches": _merge("'UPDATE', 'INSERT'", "'INSERT', 'UPDATE'"),
+    "snapshot_diff_wide": """
+SELECT CASE WHEN a.seen IS NULL THEN 'INSERT' WHEN b.seen IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation_type,
+       coalesce(b.order_id, a.order_id) AS order_id, b.o_custkey, b.o_orderstatus, b.o_totalprice, b.o_orderdate, b.o_orderpriority
+FROM (SELECT *, 1 AS seen FROM ({orders_then})) a FULL JOIN (SELECT *, 1 AS seen FROM ({orders_now})) b ON a.order_id = b.order_id
+WHERE a.seen IS NULL OR b.seen IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice IS DISTINCT FROM b.o_totalprice""",
+    "incremental_version_ends": """
+SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS valid_from,
+       CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS DATE) - 1 AS valid_to FROM orders""",
+    "rejected_rows": " UNION ALL ".join(
+        f"SELECT prd_id AS key_prd_id, '{c}' AS column_name, {c} AS value, '{reason}' AS reason FROM ({{products_as_text}}) WHERE {has}"
+        for c, reason, has in (
+            ("prd_id", "lost value", "prd_id IS NOT NULL AND try_cast(prd_id AS INTEGER) IS NULL"),
+            ("prd_cost", "lost value", "prd_cost IS NOT NULL AND try_cast(prd_cost AS INTEGER) IS NULL"),
+            ("prd_start_dt", "lost value", "prd_start_dt IS NOT NULL AND try_cast(prd_start_dt AS DATE) IS NULL"),
+            ("prd_id", "missing key", "prd_id IS NULL"),
+        )
+    ),
+    "overwrite_one_month": """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS rows,
+       CASE WHEN CAST(date_trunc('month', o_orderdate) AS DATE) = DATE '1997-03-01' THEN count(*) ELSE 0 END AS redone,
+       CAST(date_trunc('month', o_orderdate) AS DATE) <> DATE '1997-03-01' AS old_files
+FROM orders WHERE CAST(date_trunc('month', o_orderdate) AS DATE) <> DATE '1999-06-01' GROUP BY 1""",
+    "ordered_layout": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS overlapping FROM orders",
+    "even_splits": """
+WITH cuts AS (SELECT part, min(k) AS cut FROM (SELECT k, ntile(8) OVER (ORDER BY k) AS part FROM ({sparse_keys}) WHERE k IS NOT NULL) GROUP BY part)
+SELECT CAST(greatest(1, (SELECT count(DISTINCT cut) FROM cuts WHERE cut <= k)) AS INTEGER) AS part, count(*) AS rows FROM ({sparse_keys}) GROUP BY 1""",
     "daily_run": f"""WITH {_star("strict")}
 SELECT f.*, c.customer_id, c.first_name, c.country, c.birthdate, r._created_at AS customer_changed_at
 FROM fact f LEFT JOIN dim_customers c ON f.customer_key = c.customer_key LEFT JOIN ({_raw("crm_customers", 2)}) r ON c.customer_id = r.cst_id""",

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from checks.views import load
 from tidemark.functions import (
@@ -27,21 +28,21 @@ from tidemark.functions import (
     yyyymmdd_to_date,
 )
 from tidemark.operators import clean, star
-from tidemark.operators.changes import batch_end, distinct_rows, extract_changes, latest_per_key, snapshot_diff
+from tidemark.operators.changes import batch_end, distinct_rows, extract_changes, in_window, latest_per_key, snapshot_diff, wide_snapshot_diff
 from tidemark.operators.keys import extend_surrogate_key, with_surrogate_key
 from tidemark.operators.merge import apply_changes
-from tidemark.operators.quality import profile, quality_report
+from tidemark.operators.quality import profile, quality_report, rejected_rows
 from tidemark.operators.staging import scratch_folder, staged
-from tidemark.operators.versions import with_version_end
+from tidemark.operators.versions import extend_versions, with_version_end
 from tidemark.plans import jobs
 from tidemark.plans.specs import CRM_CUSTOMERS, CRM_SALES, TABLES
-from tidemark.sinks.files import write_snapshot
+from tidemark.sinks.files import range_overlaps, write_ranges, write_snapshot
 from tidemark.sinks.state import FileLedger
-from tidemark.sinks.tables import VersionedTable
+from tidemark.sinks.tables import VersionedTable, by_day, overwrite_days
 from tidemark.sources.files import newest_snapshot_rows, read_snapshots, unprocessed
-from tidemark.sources.jdbc import change_query
+from tidemark.sources.jdbc import change_query, quantile_query, range_predicates
 from tidemark.sources.systems import FrameSource
-from tidemark.streaming import run_merge_stream, stream_changes
+from tidemark.streaming import once_per_entry, run_merge_stream, stream_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -397,6 +398,80 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@query("stream_merge_batches")
+def stream_merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upsert as a stream of five micro-batches, of which the last delivers the first file again."""
+    root = scratch_folder(spark)
+    changes = staged(_customer_changes(spark, sf_dir).withColumn("_created_at", F.to_date("changed_at")))
+    cuts = [None, datetime(2024, 1, 8), datetime(2024, 1, 15), datetime(2024, 1, 22), None]
+    for after, until in [*zip(cuts, cuts[1:], strict=False), (cuts[0], cuts[1])]:
+        in_window(changes, "changed_at", after, until).coalesce(1).write.mode("append").parquet(f"{root}/changes")
+    table = VersionedTable(spark, f"{root}/customers")
+    table.replace(load(spark, sf_dir, "customers_then"))
+    arriving = stream_changes(spark, f"{root}/changes", changes.schema, max_files_per_trigger=1)
+    run_merge_stream(
+        once_per_entry(arriving, delay="60 days"), table, key=["cst_id"], order_by=["changed_at", "log_id"], checkpoint=f"{root}/checkpoint", mode="upsert"
+    )
+    return table.read()
+
+
+@query("snapshot_diff_wide")
+def wide_diff_of_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_snapshot_diff(load(spark, sf_dir, "orders_then"), load(spark, sf_dir, "orders_now"), ["order_id"])
+
+
+@query("incremental_version_ends")
+def incremental_version_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of ``scd_end_date``, arriving in three batches whose dates lie among each other."""
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("valid_from"))
+    columns = ("o_custkey", "valid_from", "valid_to", ["o_orderkey"])
+    versions = with_version_end(orders.filter("o_orderkey % 3 = 0"), *columns)
+    for turn in (1, 2):
+        versions = extend_versions(staged(versions), orders.filter(f"o_orderkey % 3 = {turn}"), *columns)
+    return versions
+
+
+@query("rejected_rows")
+def rejected_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What casts would lose of products that come as text, and rows without a key."""
+    schema = StructType.fromDDL("prd_id int, prd_key string, prd_cost int, prd_start_dt date")
+    return rejected_rows(load(spark, sf_dir, "products_as_text"), schema, ["prd_id"])
+
+
+@query("overwrite_one_month")
+def overwrite_one_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One month of a partitioned dataset is rewritten and one emptied; per month its rows and whether its files are the old ones."""
+    path, fixed, emptied = scratch_folder(spark), F.lit("1997-03-01").cast("date"), F.lit("1999-06-01").cast("date")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.trunc("o_orderdate", "month").alias("month"))
+    by_day(orders, "month").write.partitionBy("_created_date").parquet(path)
+    before = staged(spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct())
+    redone = orders.filter(F.col("month") == fixed).withColumn("o_orderstatus", F.lit("R"))
+    days = spark.range(1).select(F.explode(F.array(fixed, emptied)).alias("day"))
+    overwrite_days(redone, days, path, "month")
+    after = spark.read.schema("o_orderkey bigint, o_orderstatus string, month date, _created_date date").parquet(path)
+    after = after.select("month", "o_orderstatus", F.col("_metadata.file_path").alias("file")).join(before.withColumn("old", F.lit(True)), "file", "left")
+    return after.groupBy("month").agg(F.count("*").alias("rows"), F.count_if(F.col("o_orderstatus") == "R").alias("redone"), F.bool_and(F.coalesce("old", F.lit(False))).alias("old_files"))
+
+
+@query("ordered_layout")
+def ordered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in files by customer and time: rows in files, and how many files begin before one ahead of them ends."""
+    path, order = scratch_folder(spark), ["o_custkey", "o_orderdate"]
+    write_ranges(load(spark, sf_dir, "orders"), path, order, parts=12)
+    files = range_overlaps(spark.read.parquet(path), order)
+    return files.agg(F.sum("rows").alias("rows"), F.count_if("overlaps").alias("overlapping"))
+
+
+@query("even_splits")
+def even_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in each of the parts that a scan is cut into; the question to the database is run by Spark."""
+    table = load(spark, sf_dir, "sparse_keys")
+    cuts = spark.sql(f"SELECT * FROM {quantile_query('{rows}', 'k', 8)}", rows=table).orderBy("part").collect()  # eight rows
+    conditions = range_predicates("k", [r["cut"] for r in cuts])
+    part = F.coalesce(*[F.when(F.expr(c), F.lit(i)) for i, c in enumerate(conditions, 1)])
+    return table.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+
+
 # Up to when the logs can be seen on the first day, by table; later entries on the second.
 FIRST_DAY = {"crm_sales": datetime(1998, 5, 1), "erp_customers": datetime(1998, 5, 1), "erp_locations": datetime(1998, 5, 1)}
 FIRST_DAY_ELSE = datetime(2024, 1, 16)

@@ -151,6 +151,19 @@ SELECT o_orderkey AS log_id, CASE WHEN o_orderkey % 32 = 1 THEN 'DELETE' WHEN o_
 UNION ALL
 SELECT CAST(ascii(substr(id, 2, 1)) * 1000 + ascii(substr(id, 5, 1)) AS BIGINT) AS log_id, 'UPDATE' AS operation_type, 'erp_categories' AS table_name, id,
        (SELECT min(o_orderdate) FROM {orders}) AS changed_at FROM ({erp_categories}) c""",
+    # Order tables before and after: unchanged rows, changed ones, new and gone ones, and a third without a key.
+    "orders_then": """
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey * 2 END AS order_id, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders}""",
+    "orders_now": """
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_orderkey * 2 + 1 ELSE o_orderkey * 2 END AS order_id, o_custkey,
+       CASE WHEN o_orderkey % 7 = 1 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 11 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM {orders}""",
+    # Products as a source gives them that knows text only: numbers that are none, and rows without a key.
+    "products_as_text": """
+SELECT CASE WHEN prd_id % 50 = 7 THEN NULL WHEN prd_id % 60 = 9 THEN concat('P', CAST(prd_id AS STRING)) ELSE CAST(prd_id AS STRING) END AS prd_id,
+       prd_key, CASE WHEN prd_id % 9 = 1 THEN 'none' ELSE CAST(prd_cost AS STRING) END AS prd_cost, prd_start_dt FROM ({crm_products}) p""",
+    # Keys that lie ever farther apart, and some rows without one.
+    "sparse_keys": "SELECT CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE o_orderkey * o_orderkey END AS k FROM {orders}",
     # Change files as the orders would have been delivered in, and those already merged.
     "order_files": """
 SELECT DISTINCT concat('load_date=', CAST(CAST(o_orderdate AS DATE) AS STRING), '/part-', CAST(o_orderkey % 16 AS STRING)) AS file_name

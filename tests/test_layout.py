@@ -1,0 +1,83 @@
+"""Partitions rewritten one by one, files by range, even parts of a scan, batch numbers of catalog tables."""
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.sinks import tables
+from tidemark.sinks.files import range_overlaps, write_ranges
+from tidemark.sinks.tables import CatalogTable, by_day, overwrite_days
+from tidemark.sources.jdbc import quantile_query, range_predicates
+
+
+def test_only_named_days_are_rewritten(spark, tmp_path):
+    path, schema = str(tmp_path / "days"), "k int, d date, _created_date date"
+    rows = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2)), (3, date(2024, 1, 3)), (4, None)], "k int, d date")
+    by_day(rows, "d").write.partitionBy("_created_date").parquet(path)
+
+    def files():
+        found = spark.read.schema(schema).parquet(path).select("k", F.col("_metadata.file_path").alias("file"))
+        return {r.k: r.file for r in found.collect()}
+
+    before = files()
+    dataset = spark.read.schema(schema).parquet(path).drop("_created_date")
+    redone = dataset.filter("k <> 3").withColumn("k", F.when(F.col("k").isin(2, 4), F.col("k") * 10).otherwise(F.col("k")))
+    days = spark.createDataFrame([(date(2024, 1, 2),), (date(2024, 1, 3),), (None,), (date(2030, 1, 1),)], "day date")
+    overwrite_days(redone, days, path, "d")
+    after = files()
+    assert set(after) == {1, 20, 40}
+    assert after[1] == before[1]
+
+
+def test_files_of_a_range_layout_do_not_overlap_and_others_do(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("a"), F.col("id").alias("b"))
+    write_ranges(rows, str(tmp_path / "ranged"), ["a", "b"], parts=5)
+    ranged = range_overlaps(spark.read.parquet(str(tmp_path / "ranged")), ["a", "b"])
+    assert ranged.count() == 5
+    assert ranged.filter("overlaps").count() == 0
+    rows.repartition(5).write.parquet(str(tmp_path / "mixed"))
+    mixed = range_overlaps(spark.read.parquet(str(tmp_path / "mixed")), ["a", "b"])
+    assert mixed.filter("overlaps").count() == 4
+
+
+VALUES = {
+    "far apart": "id * id * id",
+    "hot": "CASE WHEN id % 3 = 0 THEN 77 ELSE id END",
+    "half NULL": "CASE WHEN id % 2 = 0 THEN NULL ELSE id END",
+    "text": "concat('k', id)",
+    "dates": "date_add(DATE '2024-01-01', CAST(id AS INT))",
+}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_parts_cover_every_row_once_and_are_even(spark, kind):
+    rows = spark.range(3000).selectExpr(f"{VALUES[kind]} AS k")
+    cuts = spark.sql(f"SELECT * FROM {quantile_query('{rows}', 'k', 6)}", rows=rows).orderBy("part").collect()
+    conditions = range_predicates("k", [r.cut for r in cuts])
+    within = F.array(*[F.coalesce(F.expr(c), F.lit(False)).cast("int") for c in conditions])
+    parts = [tuple(r.p) for r in rows.select(within.alias("p")).collect()]
+    assert all(sum(p) == 1 for p in parts)
+    sizes = sorted(sum(p[i] for p in parts) for i in range(len(conditions)))
+    if kind in ("far apart", "text", "dates"):
+        assert sizes[-1] <= 1.2 * sizes[0]
+
+
+def test_predicates_of_few_values():
+    assert range_predicates("k", []) == ["1 = 1"]
+    assert range_predicates("k", [5, 5, 5]) == ["1 = 1"]
+    assert range_predicates("k", ["a", "b'"]) == ["k < 'b''' OR k IS NULL", "k >= 'b'''"]
+
+
+def test_catalog_tables_remember_the_last_batch(spark, monkeypatch):
+    merged = []
+    monkeypatch.setattr(tables, "merge_into_table", lambda name, *_, **__: merged.append(name))
+    table = CatalogTable(spark, "spark_catalog.remembered.t")
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    table.replace(rows)
+    for batch in ("c1#0", "c1#0", "c1#1", "c2#0", "c1#1"):
+        table.merge(rows, ["k"], batch_id=batch)
+    assert len(merged) == 3
+    table.replace(table.read().withColumn("v", F.lit("b")))
+    assert [tuple(r) for r in table.read().collect()] == [(1, "b")]
+    spark.sql("DROP DATABASE remembered CASCADE")

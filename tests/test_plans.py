@@ -133,7 +133,7 @@ def test_quality_is_one_pass(spark, stored):
     assert text.count("FileScan") == 1
 
 
-EAGER = {"stream_merge", "daily_run", "ledger_insert_if_absent", "snapshot_latest_load"}
+EAGER = {"stream_merge", "stream_merge_batches", "daily_run", "incremental_clean", "incremental_fact", "late_commits", "ledger_insert_if_absent", "snapshot_latest_load"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))

@@ -9,7 +9,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, DoubleType, FloatType
 
 from tidemark.functions import timestamp_literal
 from tidemark.operators.staging import staged
@@ -113,3 +113,39 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFra
     return both.select(operation.alias("operation_type"), *[keys.get(c, F.col(c)) for c in new.columns]).filter(
         F.col("operation_type").isNotNull()
     )
+
+
+def row_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """128 bits that tell rows of one schema apart by ``columns``; NULL is a value, and 0.0 and -0.0 are one."""
+    floats = (DoubleType, FloatType)
+    values = [F.col(c) + F.lit(0.0).cast(df.schema[c].dataType) if isinstance(df.schema[c].dataType, floats) else F.col(c) for c in columns]
+    named = [v.alias(f"c{i}") for i, v in enumerate(values)]
+    return F.unhex(F.md5(F.to_json(F.struct(*named)) if named else F.lit("")))
+
+
+def wide_snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``snapshot_diff`` in two phases, for rows that are wide and mostly unchanged.
+
+    First only keys and row digests are shuffled and compared; what differs is written once
+    and fetches its rows from ``new`` by a join of its true size. Rows without a whole key
+    match nothing; they pass both phases by and so do not meet in one task.
+    """
+    values = [c for c in new.columns if c not in key]
+    whole = reduce(and_, [F.col(c).isNotNull() for c in key])
+    sides = {
+        name: df.filter(whole).select(*[F.col(c).alias(f"_{name}_{c}") for c in key], row_digest(df, values).alias(f"_{name}"))
+        for name, df in (("old", old.select(*new.columns)), ("new", new))
+    }
+    met = sides["old"].join(sides["new"], reduce(and_, [F.col(f"_old_{c}") == F.col(f"_new_{c}") for c in key]), "full_outer")
+    operation = F.when(F.col("_old").isNull(), INSERT).when(F.col("_new").isNull(), DELETE).when(F.col("_old") != F.col("_new"), UPDATE)
+    keys = [F.coalesce(F.col(f"_old_{c}"), F.col(f"_new_{c}")).alias(f"_key_{c}") for c in key]
+    differing = staged(met.select(operation.alias("operation_type"), *keys).filter(F.col("operation_type").isNotNull()))
+    same = reduce(and_, [new[c] == differing[f"_key_{c}"] for c in key])
+    fetched = new.join(differing.filter(F.col("operation_type") != DELETE), same).select("operation_type", *[new[c] for c in new.columns])
+    nothing = {c: F.lit(None).cast(new.schema[c].dataType).alias(c) for c in values}
+    gone = differing.filter(F.col("operation_type") == DELETE).select(
+        "operation_type", *[nothing.get(c, F.col(f"_key_{c}").alias(c) if c in key else None) for c in new.columns]
+    )
+    keyless_gone = old.filter(~whole).select(F.lit(DELETE).alias("operation_type"), *[nothing.get(c, F.col(c)) for c in new.columns])
+    keyless_new = new.filter(~whole).select(F.lit(INSERT).alias("operation_type"), *new.columns)
+    return fetched.unionByName(gone).unionByName(keyless_gone).unionByName(keyless_new)

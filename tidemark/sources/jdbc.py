@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -32,6 +33,39 @@ def hash_predicates(hashed: str, column: str, parts: int) -> list[str]:
     return [f"{column} IS NULL OR {share} = {k}" if k == 0 else f"{column} IS NOT NULL AND {share} = {k}" for k in range(parts)]
 
 
+def quantile_query(table: str, column: str, parts: int) -> str:
+    """Where to cut a table into ``parts`` of about equal numbers of rows: the first value of each, NULLs aside.
+
+    One row per part; an index on the column spares the database the sort.
+    """
+    ranked = f"SELECT {column} AS cut, NTILE({parts}) OVER (ORDER BY {column}) AS part FROM {table} WHERE {column} IS NOT NULL"
+    return f"(SELECT part, MIN(cut) AS cut FROM ({ranked}) ranked GROUP BY part) cuts"
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, bool | int | float | Decimal):
+        return str(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value}'"
+    if isinstance(value, date):
+        return f"DATE '{value}'"
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def range_predicates(column: str, cuts: Sequence[object]) -> list[str]:
+    """One condition per task for the ranges that begin at ``cuts`` (ascending); together they cover every row once.
+
+    The first range has no lower end and takes rows without a value. A value that several
+    parts would begin with, one that is a large share of the rows, gets a range of its own.
+    """
+    starts = list(dict.fromkeys(cuts))  # in the database's own order
+    if len(starts) < 2:
+        return ["1 = 1"]
+    held = [f"{column} < {_literal(starts[1])} OR {column} IS NULL"]
+    held += [f"{column} >= {_literal(a)} AND {column} < {_literal(b)}" for a, b in zip(starts[1:], starts[2:], strict=False)]
+    return [*held, f"{column} >= {_literal(starts[-1])}"]
+
+
 def bounds_query(table: str, column: str) -> str:
     return f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) bounds"
 

@@ -1,5 +1,5 @@
 """Change files as a stream."""
 
-from tidemark.streaming.changes import run_merge_stream, stream_changes
+from tidemark.streaming.changes import once_per_entry, run_merge_stream, stream_changes
 
-__all__ = ["run_merge_stream", "stream_changes"]
+__all__ = ["once_per_entry", "run_merge_stream", "stream_changes"]
