@@ -20,8 +20,8 @@ string found in a third of all texts is counted before it is shuffled. Texts are
 twice in compressed form: once to cut out the strings around open anchors, once to take
 out what is removed.
 
-Rows are told apart by id and a digest of their content: rows that agree in both are copies of each other.
-A NULL text is empty, texts shorter than ``SPAN`` bytes are kept as they are; a NULL id is
+Rows are numbered once, and that numbering is written with the texts: rows that share an id,
+or have none, are rows of their own. A NULL text is empty, texts shorter than ``SPAN`` bytes are kept as they are; a NULL id is
 an id. Extra columns are left out, an empty table gives an empty result.
 """
 
@@ -89,16 +89,16 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         yield first + begin, last + begin, place + begin, core.view(np.int64), whole.view(np.int64)
 
 
-_ID = ["doc", "content"]
+_ID = ["row"]
 
 
 def _anchor_table(docs: DataFrame) -> DataFrame:
-    """Anchors of all rows ``(doc, content, text)``; ``windows`` packs first start, number of starts less one, and place."""
+    """Anchors of all rows ``(row, text)``; ``windows`` packs first start, number of starts less one, and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, parts = [], []
-            for k, text in enumerate(batch.column(2)):
+            for k, text in enumerate(batch.column(1)):
                 data = text.as_py().encode()
                 for first, last, place, core, whole in anchors(data) if len(data) >= SPAN else ():
                     rows.append(np.full(len(first), k))
@@ -106,9 +106,9 @@ def _anchor_table(docs: DataFrame) -> DataFrame:
             if parts:
                 of = pa.array(np.concatenate(rows))
                 columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], [*_ID, "windows", "core", "whole"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *columns], [*_ID, "windows", "core", "whole"])
 
-    return in_parts(docs, run, "doc bigint, content int, windows bigint, core bigint, whole bigint")
+    return in_parts(docs, run, "row bigint, windows bigint, core bigint, whole bigint")
 
 
 def _unpacked() -> list[Column]:
@@ -122,30 +122,30 @@ def _compressed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = [packer.compress(t.as_py().encode()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary()), *batch.columns[3:]], [*_ID, "packed", *batch.schema.names[3:]])
+            packed = [packer.compress(t.as_py().encode()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), *batch.columns[2:]], [*_ID, "packed", *batch.schema.names[2:]])
 
-    return in_parts(docs, run, "doc bigint, content int, packed binary" + (", known boolean" if "known" in docs.columns else ""))
+    return in_parts(docs, run, "row bigint, packed binary" + (", doc_id bigint" if "doc_id" in docs.columns else ""))
 
 
 def _cut_out(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows(doc, content, windows, stands)`` with ``around``: the bytes of all windows of their anchor."""
+    """``rows(row, windows, stands)`` with ``around``: the bytes of all windows of their anchor."""
     wanted = rows.groupBy(*_ID).agg(F.collect_list(F.struct("windows", "stands")).alias("wanted"))
-    joined = _compressed(docs).join(wanted, _ID).dropDuplicates(_ID)  # copies of a row give the same bytes
+    joined = _compressed(docs).join(wanted, _ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                data = unpacker.decompress(batch.column(2)[k].as_py())
-                asked = batch.column(3)[k].as_py()
+                data = unpacker.decompress(batch.column(1)[k].as_py())
+                asked = batch.column(2)[k].as_py()
                 starts = [(x["windows"] >> 16, x["windows"] >> 8 & 255) for x in asked]
                 around = [data[first : first + more + SPAN] for first, more in starts]
                 of = pa.array([k] * len(asked))
                 columns = [pa.array([x["windows"] for x in asked], pa.int64()), pa.array([x["stands"] for x in asked], pa.bool_()), pa.array(around, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *columns], [*_ID, "windows", "stands", "around"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *columns], [*_ID, "windows", "stands", "around"])
 
-    schema = "doc bigint, content int, windows bigint, stands boolean, around binary"
+    schema = "row bigint, windows bigint, stands boolean, around binary"
     return map_batches(joined, run, schema)
 
 
@@ -169,7 +169,7 @@ def _ranked(rows: DataFrame, size: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Spans ``(doc, content, from, to)`` that cover all repeated strings of rows ``(doc, content, text)``."""
+    """Spans ``(row, from, to)`` that cover all repeated strings of rows ``(row, text)``."""
     # What a join keeps by is written first: each side then has a shuffle of its own, which can be split for a hot string.
     several = compact(_anchor_table(docs).groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
     found = compact(_anchor_table(docs).join(several, "core", "left_semi"))
@@ -209,11 +209,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes) digests of every row of ``docs(doc_id, text)``."""
     text = text_or_empty()
-    known = F.col("doc_id").isNotNull()
-    content = F.shiftright(F.xxhash64(text, known), 32).cast("int")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc"), content.alias("content"), text.alias("text"), known.alias("known"))
-    covered = repeated(rows.drop("known")).groupBy(*_ID).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    joined = _compressed(rows).join(covered, _ID, "left").select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), "packed", "spans")
+    rows = compact(docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text"), F.col("doc_id").cast("bigint").alias("doc_id")))
+    covered = repeated(rows.select("row", "text")).groupBy(*_ID).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    joined = _compressed(rows).join(covered, _ID, "left").select("doc_id", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
