@@ -52,6 +52,22 @@ def test_long_pieces_stream_in_bounded_memory(encoder, library, text):
     assert most < 4 * encoder.tables.lookahead
 
 
+def test_short_pieces_go_through_the_transducer_to_the_same_ids(encoder):
+    rng = random.Random(6)
+    machine, tokens = bpe.Transducer(encoder.tables, {}), list(encoder.tables.id_of)
+    pieces = [bytes(rng.choice(b"abeinst \xc3\xa9") for _ in range(rng.randint(1, encoder.tables.lookahead))) for _ in range(1000)]
+    pieces += [b"".join(rng.choice(tokens) for _ in range(3))[: encoder.tables.lookahead] for _ in range(3000)]
+    for data in pieces:
+        assert machine.whole(data) == [*machine.push(data), *machine.finish()]
+
+
+def test_long_texts_are_encoded_in_portions(encoder, library):
+    text = "one 22 three's\n\n" * 3000 + "x" * 5000 + " end <|endoftext|>" + "\t" * 70
+    portions = list(encoder.stream(text))
+    assert b"".join(portions) == array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+    assert all(portions) and max(map(len, portions)) < 4 * bpe.STEP
+
+
 def test_decoding_takes_ids_in_any_portions(encoder):
     found = ids(encoder, "日本語 😀 été")
     decoder = bpe.Decoder(encoder.tables)

@@ -10,7 +10,9 @@ token is the one token that ends there and follows the last token of the prefix
 it without merging with it.
 
 Texts are first cut into pieces by the tokenizer's pattern; a piece runs through the
-transducer. Pieces repeat, so each worker keeps the ids of short pieces in a table of
+transducer. While no more than the lookahead is held nothing can be emitted, so a piece
+that ends within it is walked from its front (``whole``): same ids, in half the time. A
+text of any length is cut, encoded and decoded in portions. Pieces repeat, so each worker keeps the ids of short pieces in a table of
 bounded size.
 
 Null text counts as empty: no ids, and decodes to the empty text. Extra columns are left
@@ -25,6 +27,7 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -35,7 +38,7 @@ from tidemark.llm.common import in_parts, text_or_empty
 
 # Fixed value: the pattern of byte-level tokenizers that cuts a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, REMEMBERED, STEP = 64, 1 << 18, 4096
+SHORT, REMEMBERED, STEP, PORTION = 64, 1 << 18, 4096, 1 << 14
 NEVER = 1 << 62
 
 
@@ -71,9 +74,11 @@ class Tables:
         self.id_of = reachable
         self.lookahead = max(map(len, reachable))
         self.longest: dict[bytes, int] = {}  # by first three bytes
+        self.longest_back: dict[bytes, int] = {}  # by last three bytes
         for data in reachable:
             if len(data) > 2:
                 self.longest[data[:3]] = max(len(data), self.longest.get(data[:3], 0))
+                self.longest_back[data[-3:]] = max(len(data), self.longest_back.get(data[-3:], 0))
 
         # Parts of each token that touch its left or right end, with the ranks of the merges that make and consume them.
         made = {merged: (pair, rank) for pair, (rank, merged) in sorted(self.merge.items(), key=lambda x: -x[1][0])}
@@ -125,16 +130,17 @@ class Transducer:
 
     def _advance(self) -> None:
         """Find the last token of every prefix that has none yet."""
-        held, last, back, apart = self.held, self.last, self.back, self.apart
-        id_of, reach = self.tables.id_of.get, self.tables.lookahead
+        held, last, back, apart = self.held, self.last, self.back, self.apart.get
+        id_of, longest = self.tables.id_of.get, self.tables.longest_back.get
         for end in range(len(last), len(held) + 1):
+            reach = longest(held[end - 3 : end], 2) if end > 2 else end
             for at in range(end - reach if end > reach else 0, end):
                 token = id_of(held[at:end])
                 if token is None:
                     continue
                 before = last[at]
                 if before >= 0:
-                    known = apart.get((before, token))
+                    known = apart((before, token))
                     if not (self._apart(before, token) if known is None else known):
                         continue
                 last.append(token)
@@ -188,7 +194,9 @@ class Transducer:
 
     def _stable(self) -> Iterator[int]:
         n = len(self.held)
-        common = max(0, n - self.tables.lookahead + 1)
+        common = n - self.tables.lookahead + 1
+        if common <= 0:
+            return
         on_chain = set(self._chain(common))
         for end in range(common + 1, n + 1):
             at = end
@@ -221,30 +229,42 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece as packed unsigned 32-bit integers."""
-        data = piece.encode()
-        if len(data) <= self.tables.lookahead:
-            packed = array("I", self.transducer.whole(data)).tobytes()
-        else:
-            packed = array("I", [*self.transducer.push(data), *self.transducer.finish()]).tobytes()
+        machine, data = self.transducer, piece.encode()
+        ids = machine.whole(data) if len(data) <= self.tables.lookahead else [*machine.push(data), *machine.finish()]
+        packed = array("I", ids).tobytes()
         if len(piece) <= SHORT:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[piece] = packed
         return packed
 
-    def _between(self, text: str) -> list[bytes]:
+    def _long(self, piece: str) -> Iterator[bytes]:
+        """Packed ids of a piece of any length, as they become stable."""
+        for begin in range(0, len(piece), STEP):
+            if stable := array("I", self.transducer.push(piece[begin : begin + STEP].encode())):
+                yield stable.tobytes()
+        yield array("I", self.transducer.finish()).tobytes()
+
+    def _between(self, text: str, begin: int, end: int) -> Iterator[bytes]:
         known, piece = self.known.get, self.piece
-        return [known(p) or piece(p) for p in self.pieces.findall(text)]
+        if end - begin <= STEP:  # so few pieces may be listed at once
+            yield b"".join([known(p) or piece(p) for p in self.pieces.findall(text, begin, end)])
+            return
+        for found in self.pieces.finditer(text, begin, end):
+            part = found[0]
+            yield from (known(part) or piece(part),) if len(part) <= SHORT else self._long(part)
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a text, piece by piece."""
+        done = 0
+        for found in self.tables.special.finditer(text) if self.tables.special is not None else ():
+            yield from self._between(text, done, found.start())
+            yield array("I", [self.tables.specials[found[0]]]).tobytes()
+            done = found.end()
+        yield from self._between(text, done, len(text))
 
     def encode(self, text: str) -> bytes:
-        if self.tables.special is None or not self.tables.special.search(text):
-            return b"".join(self._between(text))
-        out, done = [], 0
-        for found in self.tables.special.finditer(text):
-            out.extend(self._between(text[done : found.start()]))
-            out.append(array("I", [self.tables.specials[found[0]]]).tobytes())
-            done = found.end()
-        return b"".join([*out, *self._between(text[done:])])
+        return b"".join(self.stream(text))
 
 
 class Decoder:
@@ -322,12 +342,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     content, key = _content(docs.sparkSession, path), docs.schema["doc_id"].dataType.simpleString()
 
     def digests(encoder: Encoder, decoder: Decoder, text: str) -> tuple[int, str, str]:
-        packed = encoder.encode(text)
-        decoded = hashlib.sha256()
-        for begin in range(0, len(packed), 1 << 18):
-            decoded.update(decoder.push(_unpack(packed[begin : begin + (1 << 18)])).encode())
+        ids, decoded, n, stream = hashlib.sha256(), hashlib.sha256(), 0, encoder.stream(text)
+        while portion := b"".join(islice(stream, PORTION)):
+            ids.update(portion)
+            decoded.update(decoder.push(_unpack(portion)).encode())
+            n += len(portion) // 4
         decoded.update(decoder.finish().encode())
-        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), decoded.hexdigest()
+        return n, ids.hexdigest(), decoded.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value)
