@@ -60,3 +60,25 @@ def test_one_conversation_with_most_rows_and_long_texts(spark):
 
 def test_empty_log(spark):
     assert chat.digests(chat.formatted(spark.createDataFrame([], LOG))).count() == 0
+
+
+def test_events_of_one_sequence_number_have_one_order(spark):
+    rows = [(1, 0, 0, e, "user", t, "") for e, t in (("delta", "c"), ("message", "a"), ("edit", "b"), ("message", None))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        found = [chat.read_back(r["rendered"]) for r in sorted(chat.formatted(spark.createDataFrame(rows, LOG)).collect(), key=lambda r: r["part"])]
+        assert found == [("user", ""), ("user", "bc")]
+
+
+def test_a_table_becomes_a_log_of_all_events_that_folds_back(spark):
+    rng = random.Random(9)
+    rows = [(k // 6, k % 6, rng.choice(["user", "assistant", None]), rng.choice([None, "", "é😀", "x" * 41, "word " * rng.randint(1, 400)])) for k in range(300)]
+    rows += [(7, 1, "user", "again"), (7, 1, "user", "again"), (7, 1, "assistant", "other " * 30), (None, None, None, None), (8, 0, "user", "long " * 200_000)]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id bigint, turn bigint, role string, text string, event string")
+    log = chat.as_log(table)
+    counts = {r["event"]: r["count"] for r in log.groupBy("event").count().collect()}
+    assert set(counts) == set(chat.EVENTS) and counts["message"] == len(rows)
+    assert log.groupBy("conv_id", "turn", "seq").count().filter("count > 1").count() == 0
+    messages = [(r["conv_id"], r["turn"], *chat.read_back(r["rendered"])) for r in chat.formatted(log).collect()]
+    assert sorted(messages, key=repr) == sorted([(c, t, role or "", text or "") for c, t, role, text in rows], key=repr)
+    assert chat.as_log(table.limit(0)).count() == 0

@@ -13,8 +13,9 @@ role; ``read_back`` takes that away again. The loss mask covers the escaped text
 ``assistant`` messages.
 
 NULL text, role or event count as empty text, empty role and ``message``. NULL ids form
-one conversation, NULL turns come first. Rows with one place are ordered by sequence,
-role and text; repeated messages stay repeated. Extra columns are left out. A text of any
+one conversation, NULL turns come first. Events of one place and sequence number come in
+the order message, regenerate, edit, delta, any other, then by role and text; repeated
+messages stay repeated. Extra columns are left out. A text of any
 length is one message; an empty log gives an empty result.
 """
 
@@ -25,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches
@@ -36,6 +37,9 @@ _CONTROLS = re.compile(r"\\|<turn>|</turn>|### ")
 _ROLE_CONTROLS = re.compile(r"\\|<turn>|</turn>|### |:")
 _ESCAPED = re.compile(r"\\(\\|<turn>|</turn>|### |:)")
 LEARNED = "assistant"
+# The events of a log, in the order in which those of one sequence number are taken.
+EVENTS = ("message", "regenerate", "edit", "delta")
+DELTAS, SHORTEST = 12, 40  # most deltas that a table's text is streamed in, and least characters of each
 
 
 def escape(text: str, controls: re.Pattern = _CONTROLS) -> str:
@@ -105,7 +109,9 @@ def formatted(log: DataFrame) -> DataFrame:
     """Rendered messages ``conv_id, turn, part, rendered, loss_begin, loss_end`` of an event log."""
     named = [F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), *[F.col(c).cast("string") for c in ("event", "role", "text")]]
     events = log.select(*named, F.col("seq").cast("bigint").alias("seq"))
-    events = events.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "role", "text").drop("seq")
+    named_event = F.coalesce("event", F.lit(EVENTS[0]))
+    order = F.coalesce(*[F.when(named_event == e, k) for k, e in enumerate(EVENTS)], F.lit(len(EVENTS)))
+    events = events.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", order, "role", "text").drop("seq")
     fields = [("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int64()), ("rendered", pa.string()), ("loss_begin", pa.int64()), ("loss_end", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +122,33 @@ def formatted(log: DataFrame) -> DataFrame:
 
 
 def as_log(conversations: DataFrame) -> DataFrame:
-    """A table of whole messages ``(conv_id, turn, role, text)`` as a log of one event each."""
-    return conversations.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("message").alias("event"), "role", "text")
+    """A table of whole messages ``(conv_id, turn, role, text)`` as the log of how they could have been written.
+
+    By a checksum of its place a message is one event, or a start that is streamed in deltas,
+    or a draft that an edit or a regeneration replaces before the rest is streamed. Messages of
+    one place follow each other by role and text; extra columns are left out.
+    """
+    role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    place = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(place.cast("binary")) % 4).alias("way"))
+    ordinal = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    wide = F.greatest(F.lit(SHORTEST), F.ceil(F.length("text") / DELTAS)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.col("wide")), lambda at: F.substring(F.col("text"), at, F.col("wide")))
+
+    def event(name: str, said: Column, by: Column | None = None) -> Column:
+        return F.struct(F.lit(name).alias("event"), (F.lit(None).cast("string") if by is None else by).alias("role"), said.alias("text"))
+
+    first, deltas = F.element_at("pieces", 1), F.transform(F.slice("pieces", 2, DELTAS), lambda x: event("delta", x))
+    draft = F.array(event("message", F.reverse(first), F.col("role")), event("delta", F.lit("draft")))
+    events = (
+        F.when(F.col("way") == 0, F.array(event("message", F.col("text"), F.col("role"))))
+        .when(F.col("way") == 1, F.concat(F.array(event("message", first, F.col("role"))), deltas))
+        .when(F.col("way") == 2, F.concat(draft, F.array(event("edit", first)), deltas))
+        .otherwise(F.concat(draft, F.array(event("regenerate", F.lit(None).cast("string")), event("delta", first)), deltas))
+    )
+    cut = rows.withColumns({"ordinal": ordinal.cast("bigint"), "wide": wide}).withColumn("pieces", pieces)
+    told = cut.select("conv_id", "turn", "ordinal", F.posexplode(events).alias("step", "told"))
+    return told.select("conv_id", "turn", (F.col("ordinal") * (2 * DELTAS) + F.col("step")).alias("seq"), "told.event", "told.role", "told.text")
 
 
 def digests(messages: DataFrame) -> DataFrame:
