@@ -38,7 +38,7 @@ from tidemark.llm.common import in_parts, text_or_empty
 
 # Fixed value: the pattern of byte-level tokenizers that cuts a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, REMEMBERED, STEP, PORTION = 64, 1 << 18, 4096, 1 << 14
+SHORT, REMEMBERED, STEP, PORTION, LISTED = 64, 1 << 18, 4096, 1 << 14, 1 << 17
 NEVER = 1 << 62
 
 
@@ -247,7 +247,7 @@ class Encoder:
 
     def _between(self, text: str, begin: int, end: int) -> Iterator[bytes]:
         known, piece = self.known.get, self.piece
-        if end - begin <= STEP:  # so few pieces may be listed at once
+        if end - begin <= LISTED:  # characters whose pieces may be listed at once
             yield b"".join([known(p) or piece(p) for p in self.pieces.findall(text, begin, end)])
             return
         for found in self.pieces.finditer(text, begin, end):
