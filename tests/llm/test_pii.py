@@ -76,6 +76,38 @@ def test_redaction(spark, spans, expected):
     assert df.select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).first()["t"] == expected
 
 
+def test_many_matches_in_one_text(spark):
+    parts = [("mail a%d@b%d.org now", "+1 415 555 %04d, 10.0.%d.7;", "4111 1111 1111 1111 1.1.1.%d/300.1.1.%d")[k % 3] % (k % 200, k % 200) for k in range(15_000) if k % 3 != 1 or k % 200]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    row = pii.scan(docs, ("text",)).select("base", "proposed", pii.redacted(F.col("text"), F.col("base")).alias("left")).first()
+    plain = plain_spans(text)
+    assert sorted((s["start"], s["kind"], s["end"]) for s in row["base"]) == sorted((a, n, b) for a, _, b, n in plain)
+    assert len(plain) > 15_000
+    for s in row["proposed"]:
+        assert s["found"] == text[s["start"] : s["end"]]
+        assert s["before"] == text[max(0, s["start"] - 24) : s["start"]] and s["after"] == text[s["end"] : s["end"] + 1]
+    expected, done = "", 0
+    for start, _, end, kind in sorted(plain):
+        if start >= done:
+            expected += f"{text[done:start]}<{kind.upper()}>"
+        done = max(done, end)
+    assert row["left"] == expected + text[done:]
+
+
+def test_proposals_tell_how_they_lie_to_strict_matches(spark):
+    rows = documents() + [(1000 + k, t, None, None, 0) for k, t in enumerate(HARD)]
+    for row in pii.scan(frame(spark, rows)).collect():
+        base = [tuple(s) for s in row["base"]]
+        told = [(s["kind"], s["start"], s["end"]) for s in row["proposed"]]
+        assert len(told) == len(set(told)) and set(base) <= set(told)
+        for s in row["proposed"]:
+            touching = [b for b in base if b[1] < s["end"] and s["start"] < b[2]]
+            strict = (s["kind"], s["start"], s["end"]) in base
+            assert (s["strict"], s["touches"]) == (strict, bool(touching))
+            assert s["part"] == (not strict and any(b[0] == s["kind"] for b in touching))
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.summary(pii.find(frame(spark).repartition(2)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("arrow", "")

@@ -53,6 +53,7 @@ _GENERATORS = {
 _CUE = r"(?<!\p{L})(?:e-?mail|mail|mailto|phone|telephone|tel|call|mobile|fax|card|visa|credit|addr|address|host|hostname|ip|contact)s?(?!\p{L})"
 _MARK, _INSTEAD = "\u0001", "\u0002"
 _CONTEXT = 24
+_SHORTEST = 4  # characters that any match has at least
 SAMPLE = 6000  # texts that the trees are fitted on, about, of each label
 FEW = 50  # texts of a kind and label up to which the trees are fitted on all of them
 PRECISION = 0.99
@@ -86,44 +87,124 @@ def _sound(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<kind:string,start:int,end:int,found:string>>"
+_BASE_SPANS = "array<struct<kind:string,start:int,end:int>>"
+_FOUND_SPANS = "array<struct<kind:string,start:int,end:int,found:string,before:string,after:string>>"
+_SHIFTS = [1 << k for k in range(31)]
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, join, *, backward: bool = False) -> Column:
+    """What ``join`` makes of each value and all ahead of it (behind it), by spans that double: n log n steps for n values."""
+    shifts = F.filter(F.array(*map(F.lit, _SHIFTS)), lambda by: by < F.size(values))
+
+    def further(state: Column, by: Column) -> Column:
+        def joined(value: Column, at: Column) -> Column:
+            other = F.get(state, at + by if backward else at - by)
+            return F.when(other.isNull(), value).otherwise(join(value, other))
+
+        return F.transform(state, joined)
+
+    return F.aggregate(shifts, values, further)
 
 
 def _matches(text: Column, kind: str, pattern: str, sound=None) -> Column:
-    """Matches of a pattern with their places, left to right."""
+    """Matches of a pattern with their places and what stands around them, left to right.
+
+    Pieces at odd places are matches. The last characters ahead of one lie in so many pieces at most.
+    """
     pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
+    reach = 2 * -(-_CONTEXT // _SHORTEST)
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        span = F.struct(F.lit(kind).alias("kind"), state["at"].alias("start"), end.alias("end"), piece.alias("found"))
-        wanted = state["inside"] if sound is None else state["inside"] & sound(piece)
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.when(wanted, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def spans(pieces: Column, ends: Column, tails: Column) -> Column:
+        def span(at: Column) -> Column:
+            before = F.substring(F.concat_ws("", *[F.get(tails, at - back) for back in range(reach, 0, -1)]), -_CONTEXT, _CONTEXT)
+            after = F.substring(F.concat_ws("", *[F.substring(F.get(pieces, at + ahead), 1, 1) for ahead in (1, 2)]), 1, 1)
+            return F.struct(
+                F.lit(kind).alias("kind"), F.get(ends, at - 1).alias("start"), F.get(ends, at).alias("end"), F.get(pieces, at).alias("found"),
+                before.alias("before"), after.alias("after"),
+            )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPAN).alias("out"))
-    found = F.aggregate(pieces, start, step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+        places = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)), F.lit(2))
+        wanted = places if sound is None else F.filter(places, lambda at: sound(F.get(pieces, at)))
+        return F.transform(wanted, span)
+
+    def placed(pieces: Column) -> Column:
+        ends = _running(F.transform(pieces, F.length), lambda length, ahead: length + ahead)
+        tails = F.transform(pieces, lambda piece: F.substring(piece, -_CONTEXT, _CONTEXT))
+        return _with(ends, lambda ends: _with(tails, lambda tails: spans(pieces, ends, tails)))
+
+    return F.when(text.rlike(pattern), _with(pieces, placed)).otherwise(F.array().cast(_FOUND_SPANS)).cast(_FOUND_SPANS)
 
 
 def _scannable(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _INSTEAD)).otherwise(text)
 
 
+def _kind_place(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+
+
+def _compared(base: Column, wide: Column) -> Column:
+    """All spans, equal ones once: whether each is a strict match, touches one, or is a part of (or overlaps) one of its own kind.
+
+    Sorted by start, a span touches an earlier match if the furthest end of these lies behind
+    its start, and a later one if the nearest start of these lies ahead of its end. Ends and
+    starts are kept per kind.
+    """
+
+    def marked(spans: Column, wide: bool) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"), _kind_place(s["kind"]).alias("at"), s["end"].alias("end"), F.lit(wide).alias("wide"),
+                s["kind"].alias("kind"), s["found"].alias("found"), s["before"].alias("before"), s["after"].alias("after"),
+            ),
+        )
+
+    def per_kind(spans: Column, bound: str) -> Column:
+        return F.transform(spans, lambda s: F.array(*[F.when(~s["wide"] & (s["at"] == k), s[bound]) for k in range(1, len(KINDS) + 1)]))
+
+    def told(spans: Column, ends: Column, starts: Column) -> Column:
+        def first(s: Column, at: Column) -> Column:
+            previous = F.get(spans, at - 1)
+            same = (previous["start"] == s["start"]) & (previous["end"] == s["end"]) & (previous["at"] == s["at"])
+            return ~F.coalesce(same, F.lit(False))
+
+        def flags(s: Column, at: Column) -> Column:
+            ahead, behind = F.get(ends, at - 1), F.get(starts, at + 1)
+            touches = F.coalesce(F.array_max(ahead) > s["start"], F.lit(False)) | F.coalesce(F.array_min(behind) < s["end"], F.lit(False))
+            own = F.coalesce(F.get(ahead, s["at"] - 1) > s["start"], F.lit(False)) | F.coalesce(F.get(behind, s["at"] - 1) < s["end"], F.lit(False))
+            return F.struct(
+                s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), s["before"].alias("before"), s["after"].alias("after"),
+                (~s["wide"]).alias("strict"), (~s["wide"] | touches).alias("touches"), (s["wide"] & own).alias("part"), first(s, at).alias("first"),
+            )
+
+        return F.filter(F.transform(spans, flags), lambda s: s["first"])
+
+    def compared(spans: Column) -> Column:
+        ends = _running(per_kind(spans, "end"), lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b)))
+        starts = _running(per_kind(spans, "start"), lambda x, y: F.zip_with(x, y, lambda a, b: F.least(a, b)), backward=True)
+        return _with(ends, lambda ends: _with(starts, lambda starts: told(spans, ends, starts)))
+
+    return _with(F.array_sort(F.concat(marked(base, False), marked(wide, True))), compared)
+
+
 def scan(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, content, base, proposed`` of every row: strict matches, and proposals with their surroundings."""
+    """``doc_id, content, base, proposed`` of every row: strict matches, and proposals with their surroundings.
+
+    The work grows with the length of a text and with its matches times their logarithm.
+    """
     text = text_or_empty()
     rows = docs.select("doc_id", *carry, F.xxhash64(text).alias("content"), _scannable(text).alias("_text"))
-    for kind in KINDS:
-        rows = rows.withColumn(f"_base_{kind}", _matches(F.col("_text"), kind, _BASE[kind], lambda piece, kind=kind: _sound(kind, piece)))
-        rows = rows.withColumn(f"_wide_{kind}", _matches(F.col("_text"), kind, _GENERATORS[kind]))
-    base = F.flatten(F.array(*[F.col(f"_base_{k}") for k in KINDS]))
-    proposed = F.concat(F.array_distinct(F.concat(base, *[F.col(f"_wide_{k}") for k in KINDS])))
-
-    def with_context(span: Column) -> Column:
-        ahead = F.least(span["start"], F.lit(_CONTEXT))
-        before = F.substring(F.col("_text"), span["start"] - ahead + 1, ahead)
-        return span.withField("before", before).withField("after", F.substring(F.col("_text"), span["end"] + 1, F.lit(1)))
-
-    return rows.select("doc_id", *carry, "content", base.alias("base"), F.transform(proposed, with_context).alias("proposed"))
+    base = F.concat(*[_matches(F.col("_text"), kind, _BASE[kind], lambda piece, kind=kind: _sound(kind, piece)) for kind in KINDS])
+    wide = F.concat(*[_matches(F.col("_text"), kind, _GENERATORS[kind]) for kind in KINDS])
+    found = rows.select("doc_id", *carry, "content", base.alias("_base"), wide.alias("_wide"))
+    plain = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(_BASE_SPANS)
+    return found.select("doc_id", *carry, "content", plain.alias("base"), _compared(F.col("_base"), F.col("_wide")).alias("proposed"))
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -138,7 +219,7 @@ def _features(rows: DataFrame) -> DataFrame:
         return F.when(text == "", 0.0).when(text.rlike(r"^\s$"), 1.0).when(text.rlike("^[0-9]$"), 2.0).when(text.rlike(r"^\p{L}$"), 3.0).otherwise(4.0)
 
     numbers = {
-        "kind_at": F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("double"),
+        "kind_at": _kind_place(F.col("kind")).cast("double"),
         "length": F.length(found).cast("double"),
         "digits": count("0-9"),
         "letters": count("A-Za-z"),
@@ -193,12 +274,8 @@ def _examples(proposals: DataFrame) -> DataFrame:
 
 
 def _proposals(scanned: DataFrame) -> DataFrame:
-    """One row per proposal: whether a strict match of its kind is the very same span, and whether it touches any."""
-    rows = scanned.select("doc_id", "content", "base", F.explode("proposed").alias("span"))
-    same = F.exists("base", lambda b: (b["kind"] == F.col("span.kind")) & (b["start"] == F.col("span.start")) & (b["end"] == F.col("span.end")))
-    touching = F.filter("base", lambda b: (b["start"] < F.col("span.end")) & (F.col("span.start") < b["end"]))
-    part = F.exists(touching, lambda b: b["kind"] == F.col("span.kind")) & ~same
-    return rows.select("doc_id", "content", "span.*", same.alias("strict"), (F.size(touching) > 0).alias("touches"), part.alias("part"))
+    """One row per proposal: whether it is a strict match, touches any, or is a part of one of its kind."""
+    return scanned.select("doc_id", "content", F.explode("proposed").alias("span")).select("doc_id", "content", "span.*").drop("first")
 
 
 def _certain(scored: DataFrame) -> Column:
@@ -217,7 +294,7 @@ def learn(proposals: DataFrame, *, sample: int = SAMPLE) -> tuple[GBTClassificat
     shares = {r: 1.0 if r["texts"] <= FEW else min(0.8, sample / len(KINDS) / r["texts"]) for r in groups}
     share = F.coalesce(*[F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), F.lit(part)) for r, part in shares.items()])
     drawn = F.shiftrightunsigned(F.xxhash64("content", F.lit("sample")), 11) / F.lit(float(1 << 53))
-    told = [c for c in examples.columns if c not in ("doc_id", "base")]
+    told = [c for c in examples.columns if c != "doc_id"]
     fitted = staged(examples.filter(drawn < share).select(told).distinct())
     if fitted.select("label").distinct().count() < 2:
         return None
@@ -249,7 +326,7 @@ def _ordered(spans: Column) -> Column:
     """By start, then by kind as listed, then by end."""
     placed = F.transform(
         spans,
-        lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("at"), s["end"].alias("end"), s["kind"].alias("kind")),
+        lambda s: F.struct(s["start"].alias("start"), _kind_place(s["kind"]).alias("at"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
     return F.array_sort(placed)
 
@@ -263,10 +340,9 @@ def find(docs: DataFrame, carry: Sequence[str] = (), *, sample: int = SAMPLE) ->
     scanned = compact(scan(docs, carry))
     learned = learn(_proposals(scanned), sample=sample)
     added = added_spans(scanned, learned).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
-    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     together = scanned.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
-    spans = F.concat(plain, F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    return together.select("doc_id", *carry, "content", plain.alias("base"), spans.alias("spans"))
+    spans = F.concat("base", F.coalesce("added", F.array().cast(_BASE_SPANS)))
+    return together.select("doc_id", *carry, "content", "base", spans.alias("spans"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -279,13 +355,34 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each span, overlapping ones as one, replaced by its kind in angle brackets."""
+    """``text`` with each span, overlapping ones as one, replaced by its kind in angle brackets.
+
+    The text is cut into blocks first, so that no part of it is looked for from the start.
+    """
+
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        def of_block(at: Column) -> Column:
+            ahead = at * _BLOCK
+            begin = F.greatest(start - ahead, F.lit(0))
+            return F.substring(F.get(blocks, at), begin + 1, F.least(end - ahead, F.lit(_BLOCK)) - begin)
+
+        touched = F.sequence((start / _BLOCK).cast("int"), ((end - 1) / _BLOCK).cast("int"))
+        return F.when(start < end, F.array_join(F.transform(touched, of_block), "")).otherwise("")
+
+    def replaced(blocks: Column, spans: Column, ends: Column) -> Column:
+        def piece(s: Column, at: Column) -> Column:
+            done = F.coalesce(F.get(ends, at - 1), F.lit(0))
+            return F.when(s["start"] >= done, F.concat(part(blocks, done, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+
+        rest = part(blocks, F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+    def of_spans(blocks: Column, spans: Column) -> Column:
+        ends = _running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        return _with(ends, lambda ends: replaced(blocks, spans, ends))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    return _with(blocks, lambda blocks: _with(_ordered(spans), lambda spans: of_spans(blocks, spans)))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], kept, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(_ordered(spans), start, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+_BLOCK = 512
