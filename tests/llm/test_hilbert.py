@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from texts import documents, frame
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import hilbert
+from tidemark.llm import hilbert, queries
 
 
 @pytest.mark.parametrize(("dimensions", "bits"), [(1, 4), (2, 4), (3, 3), (4, 2)])
@@ -41,3 +42,17 @@ def test_shards_cover_narrow_ranges_of_every_dimension(spark):
     found = sharded(spark, rows, 64).groupBy("shard").agg(F.countDistinct("source").alias("sources"), (F.max("doc_id") - F.min("doc_id")).alias("ids")).collect()
     assert np.mean([r["sources"] for r in found]) < 12
     assert np.mean([r["ids"] for r in found]) < 3000
+
+
+def test_the_query_agrees_with_a_plain_count(spark):
+    folder = "/root/testdata/sf0.001"
+    (query,) = [q for name, q in queries.QUERIES.items() if name.startswith("op7_")]
+    rows = query(spark, folder).collect()
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    expected = sorted((doc_id, len(text) + 16, zlib.crc32(text)) for doc_id, text in texts)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == expected
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    held = {k: sorted(r["slot"] for r in rows if r["shard"] == k) for k in range(40)}
+    assert sum(map(len, held.values())) == len(texts)
+    assert max(map(len, held.values())) - min(map(len, held.values())) <= 1
+    assert all(slots == list(range(len(slots))) for slots in held.values())
