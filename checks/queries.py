@@ -40,7 +40,7 @@ from tidemark.sinks.files import range_overlaps, write_ranges, write_snapshot
 from tidemark.sinks.state import FileLedger
 from tidemark.sinks.tables import VersionedTable, by_day, overwrite_days
 from tidemark.sources.files import newest_snapshot_rows, read_snapshots, unprocessed
-from tidemark.sources.jdbc import change_query, quantile_query, range_predicates
+from tidemark.sources.jdbc import change_query, quantile_query, range_predicates, rough_pieces
 from tidemark.sources.systems import FrameSource
 from tidemark.streaming import once_per_entry, run_merge_stream, stream_changes
 
@@ -466,7 +466,8 @@ def ordered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def even_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in each of the parts that a scan is cut into; the question to the database is run by Spark."""
     table = load(spark, sf_dir, "sparse_keys")
-    cuts = spark.sql(f"SELECT * FROM {quantile_query('{rows}', 'k', 8)}", rows=table).orderBy("part").collect()  # eight rows
+    question = quantile_query("{rows}", "k", 8, pieces=rough_pieces(table, "k"))
+    cuts = spark.sql(f"SELECT * FROM {question}", rows=table).orderBy("part").collect()  # eight rows
     conditions = range_predicates("k", [r["cut"] for r in cuts])
     part = F.coalesce(*[F.when(F.expr(c), F.lit(i)) for i, c in enumerate(conditions, 1)])
     return table.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))

@@ -5,10 +5,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from tidemark.sinks import tables
 from tidemark.sinks.files import range_overlaps, write_ranges
 from tidemark.sinks.tables import CatalogTable, by_day, overwrite_days
-from tidemark.sources.jdbc import quantile_query, range_predicates
+from tidemark.sources.jdbc import quantile_query, range_predicates, rough_pieces
 
 
 def test_only_named_days_are_rewritten(spark, tmp_path):
@@ -63,6 +64,34 @@ def test_parts_cover_every_row_once_and_are_even(spark, kind):
         assert sizes[-1] <= 1.2 * sizes[0]
 
 
+@pytest.mark.parametrize("kind", VALUES)
+@pytest.mark.parametrize("count", [3000, 5, 0])
+def test_cuts_asked_in_pieces_are_those_asked_at_once(spark, kind, count):
+    rows = spark.range(count).selectExpr(f"{VALUES[kind]} AS k")
+    most = {"most": 100}
+    pieces = range_predicates("k", ["k1", "k2", "k77"]) if kind == "text" else rough_pieces(rows, "k", **most)
+    assert kind == "text" or count < 3000 or len(pieces) > 10
+
+    def cuts(**how):
+        return [tuple(r) for r in spark.sql(f"SELECT part, cut FROM {quantile_query('{rows}', 'k', 7, **how)}", rows=rows).orderBy("part").collect()]
+
+    assert cuts(pieces=pieces) == cuts()
+
+
+def test_the_query_on_splits_ranks_no_table_in_one_task(spark, monkeypatch, tmp_path):
+    spark.range(3000).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(queries, "rough_pieces", lambda rows, column: rough_pieces(rows, column, most=100))
+    asked = []
+    monkeypatch.setattr(queries, "quantile_query", lambda *of, **how: asked.append(quantile_query(*of, **how)) or asked[-1])
+    found = {r["part"]: r["rows"] for r in queries.even_splits(spark, str(tmp_path)).collect()}
+    whole = queries.load(spark, str(tmp_path), "sparse_keys")
+    assert sum(found.values()) == 3000 and len(found) == 8
+    text = spark.sql(f"SELECT * FROM {asked[0]}", rows=whole)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert any("[piece#" in line.split("AS through")[-1] for line in windows if "AS through" in line)
+    assert not any("ntile" in line for line in windows)
+
+
 def test_predicates_of_few_values():
     assert range_predicates("k", []) == ["1 = 1"]
     assert range_predicates("k", [5, 5, 5]) == ["1 = 1"]

@@ -8,6 +8,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -33,11 +34,32 @@ def hash_predicates(hashed: str, column: str, parts: int) -> list[str]:
     return [f"{column} IS NULL OR {share} = {k}" if k == 0 else f"{column} IS NOT NULL AND {share} = {k}" for k in range(parts)]
 
 
-def quantile_query(table: str, column: str, parts: int) -> str:
+def _quantile_query_in_pieces(table: str, column: str, parts: int, pieces: Sequence[str]) -> str:
+    piece = "CASE " + " ".join(f"WHEN {c} THEN {k}" for k, c in enumerate(pieces)) + " END"
+    numbers = " UNION ALL ".join(f"SELECT {k} AS part" for k in range(1, parts + 1))
+    return (
+        f"(WITH counted AS (SELECT {column}, COUNT(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}),"
+        f" placed AS (SELECT {column} AS cut, n, {piece} AS piece FROM counted),"
+        " sizes AS (SELECT piece, SUM(n) AS n FROM placed GROUP BY piece),"
+        " ahead AS (SELECT piece, SUM(n) OVER (ORDER BY piece) - n AS ahead FROM sizes),"  # a row per piece
+        " ranked AS (SELECT piece, cut, n, SUM(n) OVER (PARTITION BY piece ORDER BY cut) AS through FROM placed),"
+        f" sized AS (SELECT SUM(n) AS total, MOD(SUM(n), {parts}) AS longer FROM sizes),"
+        f" firsts AS (SELECT part, CAST((part - 1) * ((total - longer) / {parts}) AS BIGINT) + LEAST(part - 1, longer) + 1 AS first"
+        f" FROM ({numbers}) numbers CROSS JOIN sized WHERE part <= total)"
+        " SELECT part, cut FROM ranked JOIN ahead ON ranked.piece = ahead.piece"
+        " JOIN firsts ON first > ahead + through - n AND first <= ahead + through) cuts"
+    )
+
+
+def quantile_query(table: str, column: str, parts: int, *, pieces: Sequence[str] = ()) -> str:
     """Where to cut a table into ``parts`` of about equal numbers of rows: the first value of each, NULLs aside.
 
-    One row per part; an index on the column spares the database the sort.
+    One row per part; an index on the column spares the database the sort. An engine that
+    would sort the whole column in one task is given ``pieces``: conditions on the column, each
+    a range and all together every value once, in order, within which values are counted and ranked.
     """
+    if pieces:
+        return _quantile_query_in_pieces(table, column, parts, pieces)
     ranked = f"SELECT {column} AS cut, NTILE({parts}) OVER (ORDER BY {column}) AS part FROM {table} WHERE {column} IS NOT NULL"
     return f"(SELECT part, MIN(cut) AS cut FROM ({ranked}) ranked GROUP BY part) cuts"
 
@@ -66,6 +88,13 @@ def range_predicates(column: str, cuts: Sequence[object]) -> list[str]:
     return [*held, f"{column} >= {_literal(starts[-1])}"]
 
 
+def rough_pieces(rows: DataFrame, column: str, *, most: int = 500_000) -> list[str]:
+    """Conditions for ranges of about ``most`` rows, of a number, date or timestamp column; there may be fewer."""
+    pieces = rows.count() // most + 1
+    cuts = rows.agg(F.percentile_approx(column, [k / pieces for k in range(pieces)], 100 * pieces)).first()[0]  # one row
+    return range_predicates(column, sorted(cuts or []))
+
+
 def bounds_query(table: str, column: str) -> str:
     return f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) bounds"
 
