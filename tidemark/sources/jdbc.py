@@ -88,7 +88,7 @@ def range_predicates(column: str, cuts: Sequence[object]) -> list[str]:
     return [*held, f"{column} >= {_literal(starts[-1])}"]
 
 
-def rough_pieces(rows: DataFrame, column: str, *, most: int = 500_000) -> list[str]:
+def rough_pieces(rows: DataFrame, column: str, *, most: int = 2_000_000) -> list[str]:
     """Conditions for ranges of about ``most`` rows, of a number, date or timestamp column; there may be fewer."""
     pieces = rows.count() // most + 1
     cuts = rows.agg(F.percentile_approx(column, [k / pieces for k in range(pieces)], 100 * pieces)).first()[0]  # one row
